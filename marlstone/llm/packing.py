@@ -27,44 +27,54 @@ from .common import durable, table
 LIMIT, GRID, PARTS = 4096, 32, 3
 END = 1
 #: Words and word pieces whose ids are remembered; then the memory starts anew.
-REMEMBER = 200_000
+REMEMBER = 600_000
+#: Texts that are encoded together.
+TEXTS = 256
 #: Tokens of the tokenizer's pre-tokenizer, over lower-cased text.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters for which lower() and \p{L} agree with the tokenizer's normaliser, and that composition leaves alone.
 PLAIN = "[^\t\n\r -~¡-įĲ-ňŊ-ž]"
 
 
-def encoder(spec: str) -> Callable[[str], bytes]:
-    """Text to ids, as little-endian 32-bit bytes. The tokenizer splits at white space and encodes each word alone, so
-    the ids of words are remembered; texts with other characters or special tokens go through the tokenizer whole."""
+def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
+    """Texts to ids, as little-endian 32-bit bytes. The tokenizer splits at white space and encodes each piece of a word
+    alone, so the ids of words are remembered, and the new pieces of many texts are encoded at once, joined by spaces;
+    texts with other characters or special tokens go through the tokenizer whole."""
+    import re
+
     import regex
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_str(spec)
     specials = [t.content for t in full.get_added_tokens_decoder().values()]
-    odd, split = regex.compile(PLAIN), regex.compile(PIECE)
+    odd, split = re.compile(PLAIN), regex.compile(PIECE).findall
     words: dict[str, bytes] = {}
     pieces: dict[str, bytes] = {}
 
-    def ids(text: str) -> bytes:
-        return np.asarray(full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def piece(p: str) -> bytes:
-        if (out := pieces.get(p)) is None:
-            if len(pieces) >= REMEMBER:
-                pieces.clear()
-            out = pieces[p] = ids(p)
-        return out
-
-    def encode(text: str) -> bytes:
-        if odd.search(text) or any(s in text for s in specials):
-            return ids(text)
-        found = text.lower().split()
-        if len(words) >= REMEMBER:
+    def learn(new: set[str]) -> None:
+        parts = {w: split(w) for w in new}
+        fresh = list({p for ps in parts.values() for p in ps}.difference(pieces))
+        if len(pieces) + len(fresh) > REMEMBER:
+            pieces.clear()
+            fresh = list({p for ps in parts.values() for p in ps})
+        if fresh:
+            e = full.encode(" ".join(fresh), add_special_tokens=False)
+            ids, of = np.asarray(e.ids, "<u4"), np.asarray(e.word_ids, np.int64)
+            ends = np.searchsorted(of, np.arange(len(fresh)), "right") * 4
+            data, at = ids.tobytes(), 0
+            for p, end in zip(fresh, ends.tolist(), strict=True):
+                pieces[p] = data[at:end]
+                at = end
+        for w, ps in parts.items():
+            words[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+
+    def encode(texts: list[str]) -> list[bytes]:
+        found = [None if odd.search(t) or any(s in t for s in specials) else t.lower().split() for t in texts]
+        if len(words) > REMEMBER:
             words.clear()
-        for w in set(found).difference(words):
-            words[w] = b"".join([piece(p) for p in split.findall(w)])
-        return b"".join([words[w] for w in found])
+        if new := {w for ws in found if ws for w in ws if w not in words}:
+            learn(new)
+        return [np.asarray(full.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join([words[w] for w in ws]) for t, ws in zip(texts, found, strict=True)]
 
     return encode
 
@@ -77,8 +87,8 @@ def _piece_batches(spec: Callable[[], str], limit: int) -> Callable:
         end, width = np.asarray([END], "<u4").tobytes(), 4 * limit
         for b in batches:
             rows: list[tuple] = []
-            for doc, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = encode(value.as_py() or "") + end
+            for doc, data in zip(b.column(0).to_pylist(), (x for at in range(0, b.num_rows, TEXTS) for x in encode([t or "" for t in b.column(1)[at : at + TEXTS].to_pylist()])), strict=True):
+                data += end
                 rows += [(doc, k, at // 4, len(part := data[at : at + width]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(data), width))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
