@@ -4,7 +4,8 @@ Vectors are cut into two halves, each with its own codebook (k-means on at most
 the pair of its nearest centroids. A query walks the cells by the sum of its distances to both centroids (the
 multi-sequence algorithm, a heap over two sorted lists) until the cells hold enough entries, and the entries are
 reranked by exact distances. Equal vectors are one entry with its smallest ids, so copies never multiply the work.
-Queries meet entries by cell; each cell gives only its best for each query, so no list of pairs is made.
+Queries meet entries by first centroid, with the list of second centroids that they reached there; each meeting gives
+only its best for each query, so no list of pairs is made.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql.window import Window
 
 from .common import durable, table
 
-FIT_ROWS, CENTROIDS, ROUNDS = 20_000, 32, 12
+FIT_ROWS, CENTROIDS, ROUNDS = 20_000, 128, 12
 #: A query's cells hold at least so many entries, and at least this share of all.
-LEAST_ENTRIES, SHARE = 3000, 0.12
+LEAST_ENTRIES, SHARE = 3000, 0.35
 NEAREST = 10
 
 
@@ -85,40 +86,48 @@ def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _cell_batches(books: tuple[np.ndarray, np.ndarray]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = books[0].shape[1]
         for b in batches:
             x = _matrix(b.column("v"))
-            cut = books[0].shape[1]
-            cell = nearest(x[:, :cut], books[0]) * len(books[1]) + nearest(x[:, cut:], books[1]) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(cell.astype(np.int64))], ["v", "cell"])
+            i, j = (nearest(x[:, :cut], books[0]), nearest(x[:, cut:], books[1])) if len(x) else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([b.column("v"), b.column("low"), pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64))], ["v", "low", "i", "j"])
 
     return run
 
 
 def _walk_batches(books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, enough: int) -> Callable:
+    """Of distinct query vectors: for each first centroid that the walk reaches, the second centroids it reaches with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = books[0].shape[1]
         for b in batches:
             x = _matrix(b.column("v"))
             near = (gaps(x[:, :cut], books[0]), gaps(x[:, cut:], books[1])) if len(x) else ([], [])
-            rows = [(v, c) for k, v in enumerate(b.column("v").to_pylist()) for c in walk(near[0][k], near[1][k], counts, enough)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["q", "cell"])
+            rows = []
+            for k, (v, low) in enumerate(zip(b.column("v").to_pylist(), b.column("low").to_pylist(), strict=True)):
+                reached: dict[int, list[int]] = {}
+                for cell in walk(near[0][k], near[1][k], counts, enough):
+                    reached.setdefault(cell // len(books[1]), []).append(cell % len(books[1]))
+                rows += [(v, low, i, js) for i, js in reached.items()]
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["v", "q", "i", "js"])
 
     return run
 
 
 def _rerank(most: int) -> Callable:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Of the queries and the entries of a cell (split by block): each query's best entries."""
-        q, v = left.column("q").combine_chunks(), right.column("v").combine_chunks()
-        rows: list[tuple] = []
-        if len(q) and len(v):
-            x, keys, low = _matrix(v), v.to_pylist(), right.column("low").to_numpy()
-            for name, y in zip(q.to_pylist(), _matrix(q), strict=True):
-                d = np.sqrt(((x - y) ** 2).sum(1))
-                part = np.flatnonzero(d <= np.partition(d, most - 1)[most - 1]) if len(d) > most else np.arange(len(d))
-                part = part[np.lexsort((low[part], d[part]))][:most]  # most + 1 distinct entries hold the best
-                rows += [(name, keys[k], float(d[k])) for k in part]
-        return pa.table({"q": pa.array([r[0] for r in rows], pa.binary()), "v": pa.array([r[1] for r in rows], pa.binary()), "score": pa.array([r[2] for r in rows], pa.float64())})
+        """Of the queries and the entries of a first centroid (and block): each query's best entries."""
+        out: list[tuple[np.ndarray, ...]] = []
+        if left.num_rows and right.num_rows:
+            x, low, j = _matrix(right.column("v").combine_chunks()), right.column("low").to_numpy(), right.column("j").to_numpy()
+            for q, y, js in zip(left.column("q").to_pylist(), _matrix(left.column("v").combine_chunks()), left.column("js").to_pylist(), strict=True):
+                at = np.flatnonzero(np.isin(j, js))
+                d = np.sqrt(((x[at] - y) ** 2).sum(1))
+                best = np.lexsort((low[at], d))[:most]  # so many distinct entries hold the best
+                out.append((np.full(len(best), q), low[at][best], d[best]))
+        cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3)]
+        return pa.table({"q": pa.array(cols[0].astype(np.int64)), "low": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(float))})
 
     return run
 
@@ -139,36 +148,34 @@ def search(vectors: DataFrame, is_query, nearest_n: int = NEAREST, share: float
     packed = packed.where(F.length("v") == sizes[0][0]).distinct()
     # the ids that can show: the smallest nearest_n + 1 of each distinct vector
     own = Window.partitionBy("v").orderBy("vec_id")
-    ids = durable(packed.withColumn("at", F.row_number().over(own)).where(F.col("at") <= nearest_n + 1).select("v", "vec_id"))
-    entries = packed.groupBy("v").agg(F.min("vec_id").alias("low"))
+    ids = durable(packed.withColumn("at", F.row_number().over(own)).where(F.col("at") <= nearest_n + 1).select("v", "vec_id", F.min("vec_id").over(own).alias("low")))
+    entries = ids.where("vec_id = low").select("v", "low")  # one for each distinct vector, named by its smallest id
     sample = _matrix(pa.array([bytes(r[0]) for r in entries.orderBy(F.xxhash64("v")).limit(FIT_ROWS).select("v").collect()], pa.binary()))
     cut = max(1, sample.shape[1] // 2)
     halves = (sample[:, :cut], sample[:, cut:] if sample.shape[1] > 1 else np.zeros((len(sample), 0)))
     books = (kmeans(halves[0], centroids), kmeans(halves[1], centroids, seed=1) if halves[1].shape[1] else np.zeros((1, 0)))
-    celled = entries.select("v").mapInArrow(_cell_batches(books), "v binary, cell long")
-    celled = durable(celled.join(entries, "v"))
-    found = celled.groupBy("cell").agg(F.count("*")).collect()  # at most centroids squared rows
+    celled = durable(entries.mapInArrow(_cell_batches(books), "v binary, low long, i long, j long"))
     counts = np.zeros(len(books[0]) * len(books[1]), np.int64)
-    for c, n in found:
-        counts[c] = n
+    for i, j, n in celled.groupBy("i", "j").agg(F.count("*")).collect():  # at most centroids squared rows
+        counts[i * len(books[1]) + j] = n
     enough = max(least, int(share * counts.sum()))
 
-    queries = durable(packed.where(is_query).select("v", F.col("vec_id").alias("query_id")))
-    asked = queries.select("v").distinct().mapInArrow(_walk_batches(books, counts, enough), "q binary, cell long")
-    # cells are split into blocks of entries; a query goes to all blocks of its cell
-    blocks = max(1, int(counts.max()) // 4096)
-    spread = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    celled = celled.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
-    best = spread.groupBy("cell", "block").cogroup(celled.groupBy("cell", "block")).applyInArrow(_rerank(nearest_n + 1), "q binary, v binary, score double")
-    low = celled.select("v", "low")
+    queries = packed.where(is_query).join(entries, "v").select("v", "low", F.col("vec_id").alias("query_id"))
+    queries = durable(queries)
+    asked = queries.select("v", "low").distinct().mapInArrow(_walk_batches(books, counts, enough), "v binary, q long, i long, js array<long>")
+    # the entries of a centroid are split into blocks; a query goes to all blocks
+    blocks = max(1, int(counts.reshape(len(books[0]), -1).sum(1).max()) // 4096)
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    celled = celled.withColumn("block", F.pmod(F.xxhash64("low"), F.lit(blocks)).cast("int"))
+    best = asked.groupBy("i", "block").cogroup(celled.groupBy("i", "block")).applyInArrow(_rerank(nearest_n + 1), "q long, low long, score double")
     order = Window.partitionBy("q").orderBy("score", "low")
-    best = best.join(low, "v").withColumn("at", F.row_number().over(order)).where(F.col("at") <= nearest_n + 1)
-    # each distinct query's entries with their ids, then each query row without itself
-    listed = best.select("q", "v", "score").join(ids, "v")
+    best = best.withColumn("at", F.row_number().over(order)).where(F.col("at") <= nearest_n + 1).select("q", "low", "score")
+    # the entries' ids, then each query row without itself
+    listed = best.join(ids.select("low", "vec_id"), "low")
     order = Window.partitionBy("q").orderBy("score", "vec_id")
     listed = listed.withColumn("at", F.row_number().over(order)).where(F.col("at") <= nearest_n + 1).select("q", "vec_id", "score")
     listed = listed.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("best"))  # nearest_n + 1 at most
-    out = queries.join(listed, queries["v"] == listed["q"]).select("query_id", F.filter("best", lambda b: b["vec_id"] != F.col("query_id")).alias("best"))
+    out = queries.join(listed, queries["low"] == listed["q"]).select("query_id", F.filter("best", lambda b: b["vec_id"] != F.col("query_id")).alias("best"))
     out = out.select("query_id", F.posexplode(F.slice("best", 1, nearest_n)).alias("at", "b"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
 
