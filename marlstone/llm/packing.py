@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +41,37 @@ def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to ids, as little-endian 32-bit bytes. The tokenizer splits at white space and encodes each piece of a word
     alone, so the ids of words are remembered, and the new pieces of many texts are encoded at once, joined by spaces;
     texts with other characters or special tokens go through the tokenizer whole."""
+    import gc
     import re
 
     import regex
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
+    gc.disable()  # millions of small objects, none of them in cycles
     full = Tokenizer.from_str(spec)
     specials = [t.content for t in full.get_added_tokens_decoder().values()]
     odd, split = re.compile(PLAIN), regex.compile(PIECE).findall
     words: dict[str, bytes] = {}
     pieces: dict[str, bytes] = {}
+    lean = Tokenizer.from_str(spec)  # for pieces: lower-cased and cut already
+    lean.normalizer = None
+    lean.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def cut(w: str) -> tuple[str, ...] | list[str]:
+        if w.isalpha():
+            return (w,)
+        if w[-1] in ".,!?" and w[:-1].isalpha():
+            return w[:-1], w[-1]
+        return split(w)
 
     def learn(new: set[str]) -> None:
-        parts = {w: split(w) for w in new}
+        parts = {w: cut(w) for w in new}
         fresh = list({p for ps in parts.values() for p in ps}.difference(pieces))
         if len(pieces) + len(fresh) > REMEMBER:
             pieces.clear()
             fresh = list({p for ps in parts.values() for p in ps})
         if fresh:
-            e = full.encode(" ".join(fresh), add_special_tokens=False)
+            e = lean.encode(fresh, is_pretokenized=True, add_special_tokens=False)
             ids, of = np.asarray(e.ids, "<u4"), np.asarray(e.word_ids, np.int64)
             ends = np.searchsorted(of, np.arange(len(fresh)), "right") * 4
             data, at = ids.tobytes(), 0
@@ -72,9 +85,9 @@ def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
         found = [None if odd.search(t) or any(s in t for s in specials) else t.lower().split() for t in texts]
         if len(words) > REMEMBER:
             words.clear()
-        if new := {w for ws in found if ws for w in ws if w not in words}:
+        if new := set(chain.from_iterable(ws for ws in found if ws)).difference(words):
             learn(new)
-        return [np.asarray(full.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join([words[w] for w in ws]) for t, ws in zip(texts, found, strict=True)]
+        return [np.asarray(full.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(words.__getitem__, ws)) for t, ws in zip(texts, found, strict=True)]
 
     return encode
 
