@@ -12,10 +12,12 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from .common import durable, table
 
 LIMIT, GRID, PARTS = 4096, 32, 3
 END = 1
-#: Words and word pieces whose ids are remembered; then the memory starts anew.
-REMEMBER = 600_000
+#: Words and word pieces whose ids a worker process remembers; then the memory starts anew.
+REMEMBER, REMEMBER_PIECES = 400_000, 900_000
 #: Texts that are encoded together.
 TEXTS = 256
 #: Tokens of the tokenizer's pre-tokenizer, over lower-cased text.
@@ -67,7 +69,7 @@ def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
     def learn(new: set[str]) -> None:
         parts = {w: cut(w) for w in new}
         fresh = list({p for ps in parts.values() for p in ps}.difference(pieces))
-        if len(pieces) + len(fresh) > REMEMBER:
+        if len(pieces) + len(fresh) > REMEMBER_PIECES:
             pieces.clear()
             fresh = list({p for ps in parts.values() for p in ps})
         if fresh:
@@ -93,10 +95,14 @@ def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
 
 
 def _piece_batches(spec: Callable[[], str], limit: int) -> Callable:
-    state: dict = {}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = state.get("encode") or state.setdefault("encode", encoder(spec()))
+        text = spec()
+        # a worker process runs many tasks: what it has learnt stays with it, under the vocabulary's digest
+        kept = sys.modules.setdefault("_marlstone_encoders", ModuleType("_marlstone_encoders")).__dict__
+        key = f"e{zlib.crc32(text.encode())}"
+        if key not in kept:
+            kept[key] = encoder(text)
+        encode = kept[key]
         end, width = np.asarray([END], "<u4").tobytes(), 4 * limit
         for b in batches:
             rows: list[tuple] = []
