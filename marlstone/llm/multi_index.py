@@ -25,6 +25,8 @@ FIT_ROWS, CENTROIDS, ROUNDS = 20_000, 128, 12
 #: A query's cells hold at least so many entries, and at least this share of all.
 LEAST_ENTRIES, SHARE = 3000, 0.35
 NEAREST = 10
+#: Queries whose reached cells a worker holds at once, and entries and queries that meet in one task.
+WALKS, BLOCK = 64, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
@@ -98,19 +100,22 @@ def _cell_batches(books: tuple[np.ndarray, np.ndarray]) -> Callable:
 def _walk_batches(books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, enough: int) -> Callable:
     """Of distinct query vectors: for each first centroid that the walk reaches, the second centroids it reaches with it."""
 
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = books[0].shape[1]
         for b in batches:
             x = _matrix(b.column("v"))
             near = (gaps(x[:, :cut], books[0]), gaps(x[:, cut:], books[1])) if len(x) else ([], [])
-            rows = []
-            for k, (v, low) in enumerate(zip(b.column("v").to_pylist(), b.column("low").to_pylist(), strict=True)):
-                reached: dict[int, list[int]] = {}
-                for cell in walk(near[0][k], near[1][k], counts, enough):
-                    reached.setdefault(cell // len(books[1]), []).append(cell % len(books[1]))
-                rows += [(v, low, i, js) for i, js in reached.items()]
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["v", "q", "i", "js"])
+            vs, lows = b.column("v").to_pylist(), b.column("low").to_pylist()
+            for at in range(0, len(vs), WALKS):
+                rows = []
+                for k in range(at, min(at + WALKS, len(vs))):
+                    reached: dict[int, list[int]] = {}
+                    for cell in walk(near[0][k], near[1][k], counts, enough):
+                        reached.setdefault(cell // len(books[1]), []).append(cell % len(books[1]))
+                    rows += [(vs[k], lows[k], i, js) for i, js in reached.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["v", "q", "i", "js"])
 
     return run
 
@@ -162,12 +167,15 @@ def search(vectors: DataFrame, is_query, nearest_n: int = NEAREST, share: float
 
     queries = packed.where(is_query).join(entries, "v").select("v", "low", F.col("vec_id").alias("query_id"))
     queries = durable(queries)
-    asked = queries.select("v", "low").distinct().mapInArrow(_walk_batches(books, counts, enough), "v binary, q long, i long, js array<long>")
-    # the entries of a centroid are split into blocks; a query goes to all blocks
-    blocks = max(1, int(counts.reshape(len(books[0]), -1).sum(1).max()) // 4096)
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    celled = celled.withColumn("block", F.pmod(F.xxhash64("low"), F.lit(blocks)).cast("int"))
-    best = asked.groupBy("i", "block").cogroup(celled.groupBy("i", "block")).applyInArrow(_rerank(nearest_n + 1), "q long, low long, score double")
+    # a number of partitions that is stated isn't coalesced: a walk takes long for its few bytes
+    distinct = queries.select("v", "low").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "v", "low").distinct()
+    asked = distinct.mapInArrow(_walk_batches(books, counts, enough), "v binary, q long, i long, js array<long>")
+    # the entries of a centroid are split into blocks, and so are the queries: each block of one meets all of the other
+    e_blocks = max(1, int(counts.reshape(len(books[0]), -1).sum(1).max()) // BLOCK)
+    q_blocks = max(1, queries.count() // BLOCK)
+    asked = asked.select("*", F.pmod(F.xxhash64("q"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(e_blocks - 1))).alias("eb"))
+    celled = celled.select("*", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.pmod(F.xxhash64("low"), F.lit(e_blocks)).cast("int").alias("eb"))
+    best = asked.groupBy("i", "qb", "eb").cogroup(celled.groupBy("i", "qb", "eb")).applyInArrow(_rerank(nearest_n + 1), "q long, low long, score double")
     order = Window.partitionBy("q").orderBy("score", "low")
     best = best.withColumn("at", F.row_number().over(order)).where(F.col("at") <= nearest_n + 1).select("q", "low", "score")
     # the entries' ids, then each query row without itself

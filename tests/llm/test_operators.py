@@ -307,7 +307,7 @@ def test_toxicity(spark):
     assert toxicity.score(frame, toxicity.train(frame, labels.where("false"))).count() == 362
 
 
-def test_multi_index(spark):
+def test_multi_index(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(1200, 16)).astype(np.float32)
     v[500:600] = v[500]
@@ -326,6 +326,11 @@ def test_multi_index(spark):
         assert [f[0] for f in found] == list(range(1, 11)) and all(abs(s - d[k]) < 1e-12 for _, k, s in found)
         hit += len(set(want.tolist()) & {f[1] for f in found})
     assert hit >= 0.9 * 120 and [f[1] for f in got[500]] == list(range(501, 511))
+    whole = multi_index.search(frame, F.col("vec_id") % 20 == 0, share=0.5, least=100, centroids=16).orderBy("query_id", "rank").collect()
+    with monkeypatch.context() as m:  # many blocks of queries and of entries
+        m.setattr(multi_index, "BLOCK", 5)
+        m.setattr(multi_index, "WALKS", 2)
+        assert multi_index.search(frame, F.col("vec_id") % 20 == 0, share=0.5, least=100, centroids=16).orderBy("query_id", "rank").collect() == whole
     assert multi_index.search(frame.where("false"), F.lit(True)).count() == 0
     assert multi_index.search(frame.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
