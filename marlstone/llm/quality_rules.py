@@ -108,3 +108,23 @@ def keep_good(docs: DataFrame, **limits: float) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+windows AS (SELECT rid, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] AS t FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS p FROM w)),
+again AS (SELECT rid, p FROM windows QUALIFY count(*) OVER (PARTITION BY rid, t) > 1),
+covered AS (SELECT rid, count(DISTINCT p + k) AS n_repeat_words FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
+pieces AS (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT rid, host, text, line, len(parts) AS n, lower(array_to_string(parts, ' ')) AS norm FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS parts FROM pieces) WHERE len(parts) > 0),
+dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY rid),
+hosts AS (SELECT host, count(DISTINCT text) AS n_texts FROM d GROUP BY host),
+freq AS (SELECT host, norm, count(DISTINCT text) AS n_docs FROM lines GROUP BY host, norm HAVING n_docs > 10),
+common AS (SELECT f.host, norm FROM freq f JOIN hosts h ON f.host IS NOT DISTINCT FROM h.host WHERE n_docs > 0.1::DOUBLE * n_texts),
+lost AS (SELECT rid, sum(n)::BIGINT AS lost_words FROM lines l JOIN common c ON l.host IS NOT DISTINCT FROM c.host AND l.norm = c.norm GROUP BY rid),
+figures AS (SELECT d.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_words, 0) AS lost_words
+  FROM d JOIN w USING (rid) LEFT JOIN covered USING (rid) LEFT JOIN dups USING (rid) LEFT JOIN lost USING (rid)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM figures)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost_words <= 0.5 * n_words AS kept, lost_words FROM judged"""
