@@ -132,3 +132,61 @@ def locatedness(path: Column) -> Column:
 def file_tokens(chunks: DataFrame) -> DataFrame:
     total = F.sum("token_estimate")
     return chunks.groupBy("file_id").agg(F.when(total > 0, total).otherwise(F.floor(F.sum(F.length("text")) / 4)).cast("long").alias("tokens"))
+
+
+def fact_counts(facts: DataFrame) -> DataFrame:
+    """Per file a map from fact type to how many facts."""
+    rows = facts.groupBy("file_id", "fact_type").agg(F.count("*").alias("n"))
+    return rows.groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fact_type", "n")))).alias("counts"))
+
+
+def first_per(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
+    """The first row of each key in the given order. Spark limits a
+    window of rank 1 before the shuffle, to one row of a key from each task."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumn("__at", F.row_number().over(w)).where("__at = 1").drop("__at")
+
+
+def hash_or_own(file_id: Column, content_hash: Column) -> Column:
+    """A key under which a file without a hash is a group of its own."""
+    return F.coalesce(content_hash, F.concat(F.lit("id:"), file_id.cast("string")))
+
+
+def stem(filename: Column) -> Column:
+    return F.lower(F.regexp_replace(filename, r"\.[^.]*$", ""))
+
+
+def best_chunk(chunks: DataFrame) -> DataFrame:
+    """Per file its lowest chunk and that chunk's text."""
+    return chunks.groupBy("file_id").agg(F.min("chunk_index").alias("chunk_index"), F.min_by("text", "chunk_index").alias("text"))
+
+
+def head_text(chunks: DataFrame, most: int = 6) -> DataFrame:
+    """Per file the texts of its first chunks in order, one a line."""
+    w = Window.partitionBy("file_id").orderBy("chunk_index")
+    rows = chunks.withColumn("__at", F.row_number().over(w)).where(F.col("__at") <= most)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"])  # at most so many a file
+    return rows.groupBy("file_id").agg(F.count("*").alias("n"), F.array_join(parts, "\n").alias("text"))
+
+
+def capped_facts(facts: DataFrame, owner: str = "file_id", order: str = "file_id", most: int = 500) -> DataFrame:
+    """The first fact of each (owner, type, value) in the given order, and of those the first so many a type."""
+    first = first_per(facts, F.struct(owner, "fact_type", "value_text"), F.col(order))
+    w = Window.partitionBy(owner, "fact_type").orderBy(order, "value_text")
+    return first.withColumn("__at", F.row_number().over(w)).where(F.col("__at") <= most).drop("__at")
+
+
+def suffixed_keys(rows: DataFrame, owner: str, key: str, *order: str) -> DataFrame:
+    """key made unique within its owner: key, key_2, key_3 in the given order."""
+    at = F.row_number().over(Window.partitionBy(owner, key).orderBy(*order))
+    return rows.withColumn("unique_key", F.when(at == 1, F.col(key)).otherwise(F.concat(key, F.lit("_"), at.cast("string"))))
+
+
+def preview(hits: DataFrame, width: int = 300) -> DataFrame:
+    """The beginning of the text and the day, as a listing shows them."""
+    return hits.select("file_id", F.substring("text", 1, width).alias("preview"), F.substring(F.col("modified_at").cast("string"), 1, 10).alias("day"))
+
+
+def unwatched(files: DataFrame, extensions: list[str]) -> DataFrame:
+    """Files whose extension isn't among those (lower-case) watched."""
+    return files.where(~F.lower("extension").isin(*extensions))

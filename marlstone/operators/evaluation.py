@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,13 @@ def confusions(rows: DataFrame, most: int = 8) -> DataFrame:
 def usage(events: DataFrame) -> DataFrame:
     """Per client: calls, units, first and last time, last tool."""
     return events.groupBy("client").agg(F.count("*").alias("calls"), F.round(F.sum(F.col("units").cast("decimal(18,4)")), 2).cast("double").alias("units"), F.min("ts").cast("string").alias("first_seen"), F.max("ts").cast("string").alias("last_seen"), F.max_by("tool", F.struct("ts", "event_id")).alias("last_tool"))
+
+
+def pass_rates(rows: DataFrame) -> DataFrame:
+    """rows(kind, passed): per kind how many and the share passed."""
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("rate"))
+
+
+def payload_tokens(payload: Column) -> Column:
+    """Tokens of a payload, by a quarter of its JSON's length."""
+    return F.floor(F.length(F.to_json(payload)) / 4).cast("long")

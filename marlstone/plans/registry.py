@@ -540,5 +540,73 @@ def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.size("v").alias("n"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
 
+@query("facts_contains", f"WITH {FACTS} SELECT file_id, value_text FROM facts WHERE fact_type = 'date' AND value_date BETWEEN '1995-01-01' AND '1995-12-31' AND contains(lower(value_text), '-03-')")
+def _(spark, d):
+    return C.fact_filter(fact_view(spark, d), fact_type="date", since="1995-01-01", until="1995-12-31", contains="-03-").select("file_id", "value_text")
+
+
+@query("facts_page_dates", f"WITH {FACTS} SELECT file_id, fact_type, value_date FROM facts ORDER BY value_date ASC NULLS LAST, file_id, fact_type LIMIT 50")
+def _(spark, d):
+    return C.fact_page(fact_view(spark, d), by="value_date", descending=False).select("file_id", "fact_type", "value_date")
+
+
+@query("fact_type_counts", f"WITH {FACTS}, g AS (SELECT file_id, fact_type, count(*) AS n FROM facts GROUP BY ALL) SELECT file_id, string_agg(fact_type || ':' || n, ',' ORDER BY fact_type) AS counts FROM g GROUP BY file_id")
+def _(spark, d):
+    entries = F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return C.fact_counts(fact_view(spark, d)).select("file_id", F.array_join(entries, ",").alias("counts"))
+
+
+@query("first_per_hash", f"WITH {FILES} SELECT file_id, path FROM files QUALIFY row_number() OVER (PARTITION BY coalesce(content_hash, 'id:' || file_id) ORDER BY modified_at DESC, file_id) = 1")
+def _(spark, d):
+    return C.first_per(file_view(spark, d), C.hash_or_own(F.col("file_id"), F.col("content_hash")), F.desc("modified_at"), F.col("file_id")).select("file_id", "path")
+
+
+@query("first_per_stem", "SELECT n_nationkey, min_by(c_custkey, (-c_acctbal, c_custkey)) AS c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def _(spark, d):
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("filename", F.concat("n_name", F.lit("."), F.col("c_custkey").cast("string")))
+    return C.first_per(rows, C.stem(F.col("filename")), F.desc("c_acctbal"), F.col("c_custkey")).select("n_nationkey", "c_custkey")
+
+
+@query("best_chunk", f"WITH {CHUNKS} SELECT file_id, min(chunk_index) AS chunk_index, min_by(text, chunk_index) AS text FROM chunks GROUP BY file_id")
+def _(spark, d):
+    return C.best_chunk(_chunks(spark, d))
+
+
+@query("head_text", f"WITH {CHUNKS} SELECT file_id, count(*) AS n, string_agg(text, chr(10) ORDER BY chunk_index) AS text FROM chunks WHERE chunk_index < 6 GROUP BY file_id")
+def _(spark, d):
+    return C.head_text(_chunks(spark, d))
+
+
+@query("capped_facts", f"WITH {FACTS}, f AS (SELECT content_hash, fact_type, value_text, min(file_id) AS file_id FROM facts GROUP BY ALL) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY content_hash, fact_type ORDER BY file_id, value_text) <= 4")
+def _(spark, d):
+    return C.capped_facts(fact_view(spark, d), owner="content_hash", most=4).select("content_hash", "fact_type", "value_text", "file_id")
+
+
+@query("suffixed_keys", f"WITH {FACTS}, m AS (SELECT * FROM facts WHERE fact_type = 'money') SELECT file_id, key || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS unique_key FROM (SELECT *, row_number() OVER (PARTITION BY content_hash, key ORDER BY file_id) AS k FROM m)")
+def _(spark, d):
+    return C.suffixed_keys(C.fact_filter(fact_view(spark, d), fact_type="money"), "content_hash", "key", "file_id").select("file_id", "unique_key")
+
+
+@query("hit_preview", f"WITH {FILES} SELECT file_id, substr(text, 1, 300) AS preview, strftime(modified_at, '%Y-%m-%d') AS day FROM files")
+def _(spark, d):
+    return C.preview(file_view(spark, d))
+
+
+@query("unwatched_purge", f"WITH {FILES} SELECT file_id FROM files WHERE lower(extension) NOT IN ('md', 'pdf')")
+def _(spark, d):
+    return C.unwatched(file_view(spark, d), ["md", "pdf"]).select("file_id")
+
+
+@query("eval_pass_rates", "SELECT lang AS kind, count(*) AS n, round(avg(quality), 6) AS rate FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+def _(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.col("lang").alias("kind")), "doc_id")
+    return E.pass_rates(rows.select("kind", (F.col("quality") == 1).alias("passed")))
+
+
+@query("payload_tokens", "SELECT doc_id, length(to_json({doc_id: doc_id, n_chars: n_chars})) // 4 AS tokens FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", E.payload_tokens(F.struct("doc_id", "n_chars")).alias("tokens"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return hybrid_search(spark, d)
