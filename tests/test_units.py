@@ -108,3 +108,14 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_pseudo_embedding():
     v = plugins.pseudo_embedding("x")
     assert len(v) == plugins.DIMENSION and v == plugins.pseudo_embedding("x") and abs(sum(x * x for x in v) - 1) < 1e-5
+
+
+def test_first_per_key_and_suffixes(spark):
+    from marlstone.operators import catalog_queries as C
+
+    rows = spark.createDataFrame([(1, None, 5), (2, None, 4), (3, "h", 1), (4, "h", 2)], "file_id long, content_hash string, score int")
+    first = C.first_per(rows, C.hash_or_own(F.col("file_id"), F.col("content_hash")), F.desc("score"))
+    assert sorted(r.file_id for r in first.collect()) == [1, 2, 4]  # files without a hash are groups of their own
+    assert C.first_per(rows.limit(0), F.col("content_hash"), F.col("file_id")).count() == 0
+    keys = spark.createDataFrame([(1, "total", 0), (1, "total", 1), (1, "date", 2), (2, "total", 3)], "file_id long, key string, at int")
+    assert [r.unique_key for r in C.suffixed_keys(keys, "file_id", "key", "at").orderBy("at").collect()] == ["total", "total_2", "date", "total"]
