@@ -190,6 +190,49 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        at, how = rng.randrange(len(words)), rng.randrange(3)
+        words[at : at + (how > 0)] = [] if how == 2 else [rng.choice(VOCABULARY)]
+    return words
+
+
+def test_near_lines():
+    rng = random.Random(6)
+    for _ in range(400):
+        a = [w.encode() for w in text(rng, 1, rng.randrange(10, 90)).split()]
+        b = [w.encode() for w in edited(rng, [w.decode() for w in a], rng.randrange(12))]
+        k = min(len(a), len(b)) // 10
+        assert line_dedup.near(a, b) == (word_distance(a, b) <= k)
+        if min(len(a), len(b)) >= 20 and word_distance(a, b) <= k:
+            no, keys = line_dedup.prefixes([a, b])
+            assert set(keys[no == 0]) & set(keys[no == 1])
+            assert (line_dedup.parities(a) ^ line_dedup.parities(b)).bit_count() <= 2 * k
+
+
+def test_long_line_dedup(spark):
+    rng = random.Random(7)
+    base = [text(rng, 1, n).split() for n in (20, 25, 34, 50, 50, 120, 300)]
+    lines = [" ".join(w) for w in base] + [" ".join(edited(rng, rng.choice(base), rng.randrange(1, 9))) for _ in range(150)]
+    got = {r.doc_id: r["__text"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    split, dropped = [line.split() for line in lines], 0
+    for k, words in enumerate(split):
+        gone = any(word_distance(words, o) <= min(len(words), len(o)) // 10 for o in split[:k])
+        assert got[k] == ("" if gone else lines[k])
+        dropped += gone and not any(line_dedup.within_one([w.encode() for w in o], [w.encode() for w in words]) for o in split[:k])
+    assert dropped > 20
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mixed(docs).collect()
     assert len(got) == len(rows)
