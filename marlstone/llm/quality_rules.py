@@ -48,39 +48,32 @@ def repeat_words(words: list[bytes]) -> int:
 
 def _stats_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols: list[list] = [[] for _ in range(8)]
+        cols: list[list] = [[] for _ in range(9)]
         for value in b.column(2):
             text = value.as_py() or ""
             raw = text_bytes(text)
             words = raw.split()
             lines = raw.split(b"\n")
-            hashes, counts, seen, dup = [], [], set(), 0
-            for line in lines:
+            hashes, counts, nos, seen, dup = [], [], [], set(), 0
+            for no, line in enumerate(lines):
                 if parts := line.split():
                     dup += line in seen
                     seen.add(line)
                     norm = b" ".join(parts).decode("utf-8", "surrogatepass").lower()
                     hashes.append(signed(xxhash.xxh64_intdigest(text_bytes(norm))))
                     counts.append(len(parts))
-            for c, v in zip(cols, (signed(xxhash.xxh64_intdigest(raw, 42)), len(words), len(text) - sum(text.count(c) for c in SPACES), sum(text.count(c) for c in SYMBOLS), dup, repeat_words(words), hashes, counts), strict=True):
+                    nos.append(no)
+            for c, v in zip(cols, (signed(xxhash.xxh64_intdigest(raw, 42)), len(words), len(text) - sum(text.count(c) for c in SPACES), sum(text.count(c) for c in SYMBOLS), dup, repeat_words(words), hashes, counts, nos), strict=True):
                 c.append(v)
-        kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hash", "line_words"])
+        kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hash", "line_words", "line_no"])
 
 
-def judge(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
-    """Figures and verdict for each row of docs(doc_id, text, source).
-
-    base_failed: under 50 words, or over half of them in repeated 3-word windows. Else the method's verdict: lines are
-    normalised (case, white space) and hashed; a line that over max_share of a host's distinct texts and over max_docs
-    of them hold is removed; a document that loses over max_lost of its words so is rejected. The host is the source
-    (null: a host of its own). Exact copies count once, so a copied text doesn't condemn itself. Null text: as empty,
-    which fails the base. Repeated rows get equal verdicts. Other columns are ignored. Columns: doc_id, text_hash,
-    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, kept.
-    """
+def _judged(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
+    """judge() with the column drop: numbers of the lines that are boilerplate, null for none."""
     stats = durable(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(
-            _stats_batches, "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hash array<long>, line_words array<long>"
+            _stats_batches, "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hash array<long>, line_words array<long>, line_no array<long>"
         )
     )
     texts = stats.groupBy("host", "text_hash").agg(F.first("line_hash").alias("line_hash"))
@@ -88,22 +81,43 @@ def judge(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_DOC
     # host in the key: one row for each distinct line of each distinct text, counted before the shuffle
     freq = texts.select("host", F.explode(F.array_distinct("line_hash")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
     common = same(freq, hosts, ["host"], "inner").where(F.col("n_docs") > max_share * F.col("n_texts")).select("host", "h")
-    lines = stats.select("doc_id", "host", "text_hash", F.explode(F.arrays_zip(F.col("line_hash").alias("h"), F.col("line_words").alias("w"))).alias("l")).select("doc_id", "host", "text_hash", "l.h", "l.w")
-    lost = same(lines, common, ["host", "h"], "left_semi").groupBy("doc_id", "host", "text_hash").agg(F.sum("w").alias("lost"), F.count("*").alias("n"))
+    lines = stats.select("doc_id", "host", "text_hash", F.explode(F.arrays_zip(F.col("line_hash").alias("h"), F.col("line_words").alias("w"), F.col("line_no").alias("no"))).alias("l")).select("doc_id", "host", "text_hash", "l.h", "l.w", "l.no")
+    lost = same(lines, common, ["host", "h"], "left_semi").groupBy("doc_id", "host", "text_hash").agg(F.sum("w").alias("lost"), F.collect_set("no").alias("drop"))
     # whole repeats of a row add up their lines: as many times as the row occurs
     times = stats.groupBy("doc_id", "host", "text_hash").agg(F.count("*").alias("times"))
-    lost = same(lost, times, ["doc_id", "host", "text_hash"], "inner").select("doc_id", "host", "text_hash", (F.col("lost") / F.col("times")).cast("long").alias("lost_words"))
-    out = same(stats.drop("line_hash", "line_words"), lost, ["doc_id", "host", "text_hash"], "left")
+    lost = same(lost, times, ["doc_id", "host", "text_hash"], "inner").select("doc_id", "host", "text_hash", (F.col("lost") / F.col("times")).cast("long").alias("lost_words"), "drop")
+    out = same(stats.drop("line_hash", "line_words", "line_no"), lost, ["doc_id", "host", "text_hash"], "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     lost_words = F.coalesce("lost_words", F.lit(0))
-    return out.select("doc_id", "text_hash", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), lost_words.alias("lost_words"), (~failed & (lost_words <= max_lost * F.col("n_words"))).alias("kept"))
+    return out.select("doc_id", "text_hash", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), lost_words.alias("lost_words"), (~failed & (lost_words <= max_lost * F.col("n_words"))).alias("kept"), "drop")
+
+
+def judge(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
+    """Figures and verdict for each row of docs(doc_id, text, source).
+
+    base_failed: under 50 words, or over half of them in repeated 3-word windows. Else the method's verdict: lines are
+    normalised (case, white space) and hashed; a line that over max_share of a host's distinct texts and over max_docs
+    of them hold is removed; a document that loses over max_lost of its words so is rejected. The host is the source
+    (null: a host of its own). Exact copies count once, so a copied text doesn't condemn itself. Null text: as empty,
+    which fails the base. Repeated rows get equal verdicts. Other columns are ignored. Columns: doc_id, text_hash,
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, kept.
+    """
+    return _judged(docs, max_share, max_docs, max_lost).drop("drop")
 
 
 def keep_good(docs: DataFrame, **limits: float) -> DataFrame:
-    """The rows of docs that judge() keeps, all columns as they were; limits: as of judge()."""
-    good = judge(docs, **limits).where("kept").select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash")).distinct()
+    """The rows of docs that judge() keeps, without their boilerplate lines; limits: as of judge(). n_chars, where there
+    is such a column, follows the text; a text without such lines and all other columns stay as they were."""
+    good = _judged(docs, **limits).where("kept").select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash"), F.col("drop").alias("__drop"))
+    good = good.dropDuplicates(["__id", "__host", "__hash"])
     on = docs["doc_id"].cast("long").eqNullSafe(good["__id"]) & docs["source"].cast("string").eqNullSafe(good["__host"])
-    return docs.join(good, on & (native_hash(docs["text"]) == good["__hash"]), "left_semi")
+    out = docs.join(good, on & (native_hash(docs["text"]) == good["__hash"]))
+    lines = F.filter(F.split(docs["text"].cast("string"), "\n", -1), lambda _, no: ~F.array_contains("__drop", no.cast("long")))
+    cut = F.col("__drop").isNotNull()
+    out = out.withColumn("text", F.when(cut, F.array_join(lines, "\n")).otherwise(docs["text"]))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,16 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_quality_rules_cut_lines(spark):
+    body = [" ".join(f"u{k}x{i}" for i in range(60)) for k in range(30)]
+    rows = [(k, f"Shared   line\n\n{b}\n\nshared LINE\n", "h", 7) for k, b in enumerate(body)]
+    rows += [(100, f"\n{body[0]} z\n", "h", 7), (None, f"shared line\n{body[1]}", "h", 7), (200, f"shared line\n{body[2]}", None, 7)]
+    frame = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string, n_chars int")
+    want = [(k, f"\n{b}\n\n", "h", len(b) + 3) for k, b in enumerate(body)]
+    want += [(100, rows[30][1], "h", 7), (None, body[1], "h", len(body[1])), (200, rows[32][1], None, 7), want[0]]
+    assert sorted(map(str, map(tuple, quality_rules.keep_good(frame).collect()))) == sorted(map(str, want))
+
+
 def test_line_helpers():
     words = b"a b c d e f g h i j k".split()
     assert [v for v, k in line_dedup.variants(words)][1:] == [line_dedup._hash(words[:k] + words[k + 1 :]) for k in range(11)]
