@@ -15,6 +15,8 @@ from .common import SPACES, durable, native_hash, same, signed, table, text_byte
 SYMBOLS = "#*$%&|<>"
 #: A line is boilerplate if over this share of a host's distinct texts hold it, and over so many.
 MAX_SHARE, MAX_DOCS = 0.1, 10
+#: The limits of the pipeline: a share that reaches lines of a few texts, and a number of texts that is always enough.
+PIPELINE = {"max_share": 0.01, "max_docs": 10, "enough": 1000}
 #: A document is depleted if over this share of its words stands in boilerplate lines.
 MAX_LOST = 0.5
 
@@ -69,7 +71,7 @@ def _stats_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hash", "line_words", "line_no"])
 
 
-def _judged(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
+def _judged(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST, enough: int | None = None) -> DataFrame:
     """judge() with the column drop: numbers of the lines that are boilerplate, null for none."""
     stats = durable(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(
@@ -80,7 +82,10 @@ def _judged(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_D
     hosts = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
     # host in the key: one row for each distinct line of each distinct text, counted before the shuffle
     freq = texts.select("host", F.explode(F.array_distinct("line_hash")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
-    common = same(freq, hosts, ["host"], "inner").where(F.col("n_docs") > max_share * F.col("n_texts")).select("host", "h")
+    over = F.col("n_docs") > max_share * F.col("n_texts")
+    if enough is not None:
+        over |= F.col("n_docs") > enough
+    common = same(freq, hosts, ["host"], "inner").where(over).select("host", "h")
     lines = stats.select("doc_id", "host", "text_hash", F.explode(F.arrays_zip(F.col("line_hash").alias("h"), F.col("line_words").alias("w"), F.col("line_no").alias("no"))).alias("l")).select("doc_id", "host", "text_hash", "l.h", "l.w", "l.no")
     lost = same(lines, common, ["host", "h"], "left_semi").groupBy("doc_id", "host", "text_hash").agg(F.sum("w").alias("lost"), F.collect_set("no").alias("drop"))
     # whole repeats of a row add up their lines: as many times as the row occurs
@@ -92,17 +97,17 @@ def _judged(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_D
     return out.select("doc_id", "text_hash", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), lost_words.alias("lost_words"), (~failed & (lost_words <= max_lost * F.col("n_words"))).alias("kept"), "drop")
 
 
-def judge(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST) -> DataFrame:
+def judge(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST, enough: int | None = None) -> DataFrame:
     """Figures and verdict for each row of docs(doc_id, text, source).
 
     base_failed: under 50 words, or over half of them in repeated 3-word windows. Else the method's verdict: lines are
     normalised (case, white space) and hashed; a line that over max_share of a host's distinct texts and over max_docs
-    of them hold is removed; a document that loses over max_lost of its words so is rejected. The host is the source
+    of them hold is removed, as is, where enough is given, one that over so many hold; a document that loses over max_lost of its words so is rejected. The host is the source
     (null: a host of its own). Exact copies count once, so a copied text doesn't condemn itself. Null text: as empty,
     which fails the base. Repeated rows get equal verdicts. Other columns are ignored. Columns: doc_id, text_hash,
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, kept.
     """
-    return _judged(docs, max_share, max_docs, max_lost).drop("drop")
+    return _judged(docs, max_share, max_docs, max_lost, enough).drop("drop")
 
 
 def keep_good(docs: DataFrame, **limits: float) -> DataFrame:

@@ -158,6 +158,19 @@ def test_quality_rules_cut_lines(spark):
     assert sorted(map(str, map(tuple, quality_rules.keep_good(frame).collect()))) == sorted(map(str, want))
 
 
+def test_quality_rules_limits_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    # 12 of 300 texts of the host hold the line: 4 %
+    body = [" ".join(f"u{k}x{i}" for i in range(60)) for k in range(300)]
+    frame = spark.createDataFrame([(k, f"Read more here\n{b}" if k < 12 else b, "h") for k, b in enumerate(body)], "doc_id long, text string, source string")
+    assert corpus_pipeline._quality(spark, frame, "").where("text like 'Read more%'").count() == 0
+    assert quality_rules.judge(frame).where("lost_words > 0").count() == 0
+    # where the share is out of reach, so many texts are enough
+    assert quality_rules.judge(frame, enough=11).where("lost_words > 0").count() == 12
+    assert quality_rules.judge(frame, enough=12).where("lost_words > 0").count() == 0
+
+
 def test_line_helpers():
     words = b"a b c d e f g h i j k".split()
     assert [v for v, k in line_dedup.variants(words)][1:] == [line_dedup._hash(words[:k] + words[k + 1 :]) for k in range(11)]
