@@ -2,8 +2,8 @@
 
 Each block of text has a path of tags from the root. Per path, text length and punctuation are aggregated and divided by
 the number of its blocks; the two series over the page's blocks are smoothed by a Gaussian, fused by multiplication
-and thresholded. The paths that pass name the content; the container that holds most of what they select is the
-article, and its blocks are the text. Elements that cannot be the article (menus, forms, scripts, adverts, comments, by
+and thresholded. The paths that pass name the content; article or main elements that hold most of what they select, or else
+the deepest container that holds nearly all of it, are the article: its blocks, and all others of these paths, are the text. Elements that cannot be the article (menus, forms, scripts, adverts, comments, by
 tag, role, class or id) take no part.
 """
 
@@ -37,6 +37,12 @@ MARKS = set(
 #: Share of the largest fused ratio that a path needs; share of link text at which a block is a menu.
 THRESHOLD, MOST_LINKS = 0.1, 0.7
 SIGMA = 1.0
+#: What an article is by tag; blocks of an article; elements that are no container of one; share of the chosen text that
+#: its container holds.
+ARTICLES = ("article", "main")
+TEXTS = set("h1 h2 h3 h4 p li blockquote pre td th dd dt".split())
+PARTS = TEXTS | set("h5 h6 ul ol dl table thead tbody tfoot tr caption figure figcaption".split())
+NEARLY = 0.95
 _RAW = "|".join(RAW.split())
 _TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z""", re.S | re.I)
 _MARK = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -121,6 +127,10 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return full / norm
 
 
+def _tag(path: tuple[str, ...]) -> str:
+    return path[-1].split(".")[0]
+
+
 def extract(page: str | None) -> str:
     """Main text of a page: references decoded, white space in a block as one space, blocks joined by one space."""
     found = [b for b in blocks(page or "") if b[2] <= MOST_LINKS]
@@ -135,18 +145,30 @@ def extract(page: str | None) -> str:
     fused = _smooth(ratio[of]) * (_smooth(dots[of]) + 0.1)
     score = np.bincount(of, fused) / n
     chosen = score >= THRESHOLD * score.max()
+    # outside the container a path must pass by itself, not by rich neighbours
+    own = ratio * (dots + 0.1)
+    alone = chosen & (own >= THRESHOLD * own.max())
     paths = list(number)
-    # the deepest container that holds most of the chosen text
+    # articles by tag, if they hold most of the chosen text; else the deepest container that holds nearly all of it
     weight: dict[tuple[str, ...], float] = defaultdict(float)
     for k, p in enumerate(paths):
         if chosen[k]:
             for d in range(1, len(p) + 1):
                 weight[p[:d]] += float(chars[of == k].sum())
     whole = sum(float(chars[of == k].sum()) for k in range(len(paths)) if chosen[k])
-    holds = [p for p, w in weight.items() if w >= 0.5 * whole and not p[-1].split(".")[0] in ("p", "li", "td", "h1", "h2", "h3", "blockquote", "pre")]
-    root = next((p for p in sorted(holds, key=len) if p[-1].split(".")[0] in ("article", "main")), max(holds, key=len, default=()))
-    semantic = bool(root) and root[-1].split(".")[0] in ("article", "main")
-    keep = [t for (p, t, _), k in zip(found, of, strict=True) if p[: len(root)] == root and (semantic or chosen[k] or p[-1].split(".")[0] in ("h1", "h2", "h3", "h4", "p", "li", "blockquote", "pre", "td", "th", "dd", "dt"))]
+    tops = [p for p in weight if _tag(p) in ARTICLES and not any(_tag(p[:d]) in ARTICLES for d in range(1, len(p)))]
+    semantic = sum(weight[p] for p in tops) >= 0.5 * whole and bool(tops)
+    if semantic:
+        root = max(tops, key=lambda p: weight[p])
+        inside = max((p for p in weight if p[: len(root)] == root and _tag(p) == "article" and weight[p] >= 0.5 * whole), key=lambda p: weight[p], default=root)
+        root = inside if weight[inside] >= NEARLY * weight[root] else root
+    else:
+        root = max((p for p, w in weight.items() if w >= NEARLY * whole and _tag(p) not in PARTS), key=len, default=())
+    keep = []
+    for (p, t, _), k in zip(found, of, strict=True):
+        within = p[: len(root)] == root
+        if within and (semantic or _tag(p) in TEXTS) or alone[k] and (not semantic or any(p[: len(x)] == x for x in tops)):
+            keep.append(t)
     return " ".join(keep)
 
 

@@ -414,6 +414,18 @@ def test_html(spark):
     assert [r.n_chars > 0 for r in html_extraction.extract_pages(frame).orderBy("page_id").collect()] == [True, False]
 
 
+def test_html_of_several_containers():
+    para = [" ".join(f"w{k}x{i}," for i in range(30)) for k in range(9)]
+    p = [f"<p>{x}</p>" for x in para]
+    page = "<html><body><div class=top><span>x</span></div><div class=content><h1>Head</h1><div class=part1>{}</div><div class=part2>{}</div></div><div class=end>(c)</div></body></html>"
+    assert html_extraction.extract(page.format("".join(p[:5]), "".join(p[5:]))) == " ".join(["Head", *para])
+    # a list with most of the text isn't the article
+    items = "".join(f"<li>{x}</li>" for x in para[:6])
+    assert html_extraction.extract(page.format(f"<ul>{items}</ul>", "".join(p[6:]))) == " ".join(["Head", *para])
+    # two articles of different classes
+    assert html_extraction.extract(f"<body><article class=a>{''.join(p[:5])}</article><article class=b>{''.join(p[5:])}</article></body>") == " ".join(para)
+
+
 def test_importance(spark, docs, empty):
     good = docs.where("doc_id < 20").select("text")
     a = importance.resample(docs, good, 0.5)
