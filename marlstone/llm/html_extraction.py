@@ -34,6 +34,12 @@ MARKS = set(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar side widget widgets related recommended recommendations share sharing social "
     "nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead topbar toolbar login search pagination pager copyright complementary contentinfo hidden".split()
 )
+#: Words that beside marks leave a class or id a mark as a whole (ad-container), and ids that are as well the anchor of a
+#: section of an article (discussion).
+NEUTRAL = set("list box container area section block inner site wrap wrapper item items links bar header primary secondary left right top bottom".split())
+ANCHORS = set("consent notice notices discussion related recommended recommendations share sharing social search login promotion side notification alert copyright subscription hidden".split())
+#: Share of a page's text whose holder is not set apart by a mark.
+HOLDS = 0.8
 #: Share of the largest fused ratio that a path needs; share of link text at which a block is a menu.
 THRESHOLD, MOST_LINKS = 0.1, 0.7
 SIGMA = 1.0
@@ -43,6 +49,7 @@ ARTICLES = ("article", "main")
 TEXTS = set("h1 h2 h3 h4 p li blockquote pre td th dd dt".split())
 PARTS = TEXTS | set("h5 h6 ul ol dl table thead tbody tfoot tr caption figure figcaption".split())
 NEARLY = 0.95
+NONE, WEAK, STRONG, GONE = range(4)
 _RAW = "|".join(RAW.split())
 _TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z""", re.S | re.I)
 _MARK = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -50,23 +57,34 @@ _PUNCT = re.compile(r"[.,;:!?…。，、]")
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _marked(attrs: str) -> tuple[bool, str]:
-    """Whether attributes mark an element as outside the article, and its class as part of the path."""
-    out, label = False, ""
+def _marked(tag: str, attrs: str) -> tuple[int, str]:
+    """How attributes mark an element (NONE, WEAK: a word of a class or id; STRONG: a whole one; GONE: it isn't shown),
+    and its class as part of the path."""
+    how, label = NONE, ""
     for m in _MARK.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role"):
-            out |= not MARKS.isdisjoint(_WORDS.findall(value))
             label += "." + value if key == "class" else ""
+            if key == "id" and tag in TEXTS:  # an anchor
+                continue
+            for token in value.split():
+                words = set(_WORDS.findall(token))
+                if marks := words & MARKS:
+                    whole = words <= MARKS | NEUTRAL and not (key == "id" and marks <= ANCHORS)
+                    how = max(how, STRONG if whole else WEAK)
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            out = True
-    return out, label
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path, text, share of link text) of each block of text that may be in the article, in page order."""
-    found: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, label, whether it or what holds it is outside the article
+            how = GONE
+    return how, label
+
+
+def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], str, float, tuple[int, ...]]], dict[int, int], set[int]]:
+    """(path, text, share of link text, numbers of the marked elements around it) of each block of text that may be in
+    the article, in page order; the marked elements, weak or strong; and those of them that hold an article or main
+    element of no mark."""
+    found: list[tuple[tuple[str, ...], str, float, tuple[int, ...]]] = []
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, label, whether it or what holds it is outside the article, marked elements
+    marked: dict[int, int] = {}
+    holders: list[tuple[int, ...]] = []
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -75,7 +93,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text and not (stack and stack[-1][2]):
-                found.append((tuple(s[1] for s in stack), text, linked / max(1, len(text))))
+                found.append((tuple(s[1] for s in stack), text, linked / max(1, len(text)), stack[-1][3] if stack else ()))
             parts.clear()
         linked = 0
 
@@ -108,16 +126,23 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                 stack.pop()
             elif tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
                 stack.pop()
-            out, label = _marked(m[4]) if m[4].strip() else (False, "")
-            inside = any(s[0] in ("article", "main") for s in stack)
-            out |= tag in NEVER or tag == "header" and not inside
-            if tag in ("html", "body", "article", "main"):  # themes put state words into these
-                out = False
-            stack.append((tag, tag + label, out or bool(stack) and stack[-1][2]))
+            how, label = _marked(tag, m[4]) if m[4].strip() else (NONE, "")
+            inside = any(s[0] in ARTICLES for s in stack)
+            out, around = stack[-1][2:] if stack else (False, ())
+            if tag in ARTICLES and how < STRONG and not out:
+                holders.append(around)
+            if tag in ("html", "body", *ARTICLES):  # themes put state words into these
+                how = NONE
+            out |= tag in NEVER or tag == "header" and not inside or how == GONE
+            if how in (WEAK, STRONG):
+                marked[len(marked)] = how
+                around = (*around, len(marked) - 1)
+            stack.append((tag, tag + label, out, around))
     if at < len(page):
         parts.append(page[at:])
     flush()
-    return found
+    # a mark that all articles by tag stand in sets none of them apart
+    return found, marked, set(holders[0]).intersection(*holders) if holders else set()
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -133,13 +158,23 @@ def _tag(path: tuple[str, ...]) -> str:
 
 def extract(page: str | None) -> str:
     """Main text of a page: references decoded, white space in a block as one space, blocks joined by one space."""
-    found = [b for b in blocks(page or "") if b[2] <= MOST_LINKS]
+    everything, marked, holds = blocks(page or "")
+    if marked:
+        # a strong mark counts unless its element holds the article
+        inside: dict[int, int] = defaultdict(int)
+        for _, t, links, around in everything:
+            for e in around:
+                inside[e] += len(t) if links <= MOST_LINKS else 0
+        total = sum(len(t) for _, t, links, _ in everything if links <= MOST_LINKS)
+        strong = {e for e, how in marked.items() if how == STRONG and e not in holds and inside[e] < HOLDS * total}
+        everything = [b for b in everything if strong.isdisjoint(b[3])]
+    found = [b for b in everything if b[2] <= MOST_LINKS]
     if not found:
         return ""
     number: dict[tuple[str, ...], int] = {}
-    of = np.array([number.setdefault(p, len(number)) for p, _, _ in found])
-    chars = np.array([len(t) for _, t, _ in found], float)
-    points = np.array([len(_PUNCT.findall(t)) for _, t, _ in found], float)
+    of = np.array([number.setdefault(p, len(number)) for p, _, _, _ in found])
+    chars = np.array([len(t) for _, t, _, _ in found], float)
+    points = np.array([len(_PUNCT.findall(t)) for _, t, _, _ in found], float)
     n = np.bincount(of)
     ratio, dots = np.bincount(of, chars) / n, np.bincount(of, points) / n
     fused = _smooth(ratio[of]) * (_smooth(dots[of]) + 0.1)
@@ -164,10 +199,19 @@ def extract(page: str | None) -> str:
         root = inside if weight[inside] >= NEARLY * weight[root] else root
     else:
         root = max((p for p, w in weight.items() if w >= NEARLY * whole and _tag(p) not in PARTS), key=len, default=())
+    # of weak marks, only elements without any block of a passing path are set apart
+    rich = {e for (_, _, _, around), k in zip(found, of, strict=True) if alone[k] for e in around}
+    contained = semantic or bool(root) and _tag(root) not in ("html", "body")
     keep = []
-    for (p, t, _), k in zip(found, of, strict=True):
+    for p, t, links, around in everything:
         within = p[: len(root)] == root
-        if within and (semantic or _tag(p) in TEXTS) or alone[k] and (not semantic or any(p[: len(x)] == x for x in tops)):
+        if links > MOST_LINKS and not (within and contained):
+            continue
+        passes = p in number and alone[number[p]]
+        if within and (semantic or p in number and chosen[number[p]] or _tag(p) in TEXTS):
+            if passes or all(e in rich or e in holds for e in around):
+                keep.append(t)
+        elif passes and (not semantic or any(p[: len(x)] == x for x in tops)):
             keep.append(t)
     return " ".join(keep)
 

@@ -426,6 +426,20 @@ def test_html_of_several_containers():
     assert html_extraction.extract(f"<body><article class=a>{''.join(p[:5])}</article><article class=b>{''.join(p[5:])}</article></body>") == " ".join(para)
 
 
+def test_html_marks():
+    para = [" ".join(f"w{k}x{i}," for i in range(30)) for k in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in para)
+    for around in ("wrapper has-sidebar", "search-page", "nav-open", "content-sidebar-wrap", "sidebar"):
+        for tag in ("article", "div"):
+            assert html_extraction.extract(f"<body><div class='{around}'><{tag}>{body}</{tag}</div><div class=sidebar><p>Ad, ad.</p></div></body>") == " ".join(para)
+    inside = "<h2 id='related-work'>Related</h2><section id='discussion'><h2>Talk</h2><p>{0}</p></section><p id='side-effects'>Few.</p><h3 id='how-to-share'>How</h3><p><a href=1>Only a link</a></p><ul><li><a href=2>Ref one</a></li></ul>"
+    want = f"{' '.join(para)} Related Talk {para[0]} Few. How Only a link Ref one"
+    for tag in ("article", "div class=post"):
+        page = f"<body><nav><a href=1>Home</a></nav><{tag}>{body}{inside.format(para[0])}</{tag.split()[0]}><ul><li><a href=3>Menu</a></li></ul><div id=comments><article class=comment><p>{para[1]}</p></article></div></body>"
+        assert html_extraction.extract(page) == want
+    assert html_extraction.extract(f"<body><article>{body}<div class='ad-container'><p>Buy, now.</p></div></article><div class=related><p>{para[0]}</p></div></body>") == " ".join(para)
+
+
 def test_importance(spark, docs, empty):
     good = docs.where("doc_id < 20").select("text")
     a = importance.resample(docs, good, 0.5)
