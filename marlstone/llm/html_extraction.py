@@ -21,9 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Fixed lists: elements whose content is no text, that are never part of the article, that don't break a block, that
+#: Fixed lists: elements whose content is no mark-up, whose content is no text, that may stand in head, that end an svg or
+#: math left open and the elements of these that hold HTML, that are never part of the article, that don't break a block, that
 #: have no content, and what an opening tag closes.
-RAW = "script style noscript template textarea title svg math iframe object canvas audio video head"
+RAW = "script style"
+SKIPPED = set("noscript template textarea title svg math iframe object canvas audio video head".split())
+HEAD = set("title meta link base basefont bgsound script style noscript template".split())
+BREAKOUT = set("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article main section header footer nav aside".split())
+HTML_INSIDE = {"foreignobject", "desc", "title", "annotation-xml"}
 NEVER = set("nav footer aside form button select option menu dialog datalist label fieldset dir".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +58,7 @@ NONE, WEAK, STRONG, GONE = range(4)
 _RAW = "|".join(RAW.split())
 _TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z""", re.S | re.I)
 _MARK = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*\Z""")
 _PUNCT = re.compile(r"[.,;:!?…。，、]")
 _WORDS = re.compile(r"[a-z]+")
 
@@ -86,8 +92,17 @@ def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], str, float, tuple[int
     marked: dict[int, int] = {}
     holders: list[tuple[int, ...]] = []
     parts: list[str] = []
+    skip: list[str] = []  # open elements from one whose content is no text
     linked, in_link, at = 0, 0, 0
 
+    def read(piece: str) -> None:
+        nonlocal linked
+        if skip == ["head"] and piece.strip():
+            skip.clear()
+        if not skip:
+            parts.append(piece)
+            linked += len(piece) if in_link else 0
+
     def flush() -> None:
         nonlocal linked
         if parts:
@@ -99,13 +114,29 @@ def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], str, float, tuple[int
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
-            linked += len(piece) if in_link else 0
+            read(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
+        if skip:
+            if m[2] and tag in skip:
+                while skip.pop() != tag:
+                    pass
+                continue
+            if m[2]:
+                ends = any(s[0] == tag for s in stack)
+            else:
+                ends = tag == "body" or skip == ["head"] and tag not in HEAD or skip[0] in ("svg", "math") and tag in BREAKOUT and HTML_INSIDE.isdisjoint(skip)
+            if not ends:
+                if not m[2] and tag not in VOID and not _CLOSED.search(m[4]):
+                    skip.append(tag)
+                continue
+            skip.clear()
+        if tag in SKIPPED:
+            if not m[2] and not (tag in ("svg", "math", "iframe") and _CLOSED.search(m[4])):
+                skip.append(tag)
+            continue
         if tag == "br":
             parts.append(" ")
         elif tag in INLINE:
@@ -139,7 +170,7 @@ def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], str, float, tuple[int
                 around = (*around, len(marked) - 1)
             stack.append((tag, tag + label, out, around))
     if at < len(page):
-        parts.append(page[at:])
+        read(page[at:])
     flush()
     # a mark that all articles by tag stand in sets none of them apart
     return found, marked, set(holders[0]).intersection(*holders) if holders else set()

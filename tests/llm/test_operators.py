@@ -440,6 +440,17 @@ def test_html_marks():
     assert html_extraction.extract(f"<body><article>{body}<div class='ad-container'><p>Buy, now.</p></div></article><div class=related><p>{para[0]}</p></div></body>") == " ".join(para)
 
 
+def test_html_left_open():
+    body = "<article><p>One, two, three.</p>{}<p>Four, five, six.</p></article>"
+    want = "One, two, three. Four, five, six."
+    for head in ("<html><head><title>x</title><meta a=b><body>", "<head><title>x</title>", "<head><title>x<body>", "<head><noscript><link href=x></noscript><script>'<p>'</script>"):
+        assert html_extraction.extract(head + body.format("")) == want
+    assert html_extraction.extract("<head><title>x</title>Plain text, here.") == "Plain text, here."
+    for odd in ("<svg a='1'/>", "<math/>", "<svg><path d=1></path><text>no</text></svg>", "<svg><path d=1><desc>no</desc>", "<iframe src='x' />", "<div><video src=x>no</div>", "<div><object><p>no</p></div>", "<audio>no <b>no</b></audio>", "<svg><foreignObject><p>no</p></foreignObject></svg>"):
+        assert html_extraction.extract(body.format(odd)) == want, odd
+    assert html_extraction.extract("<article><p>One, <svg><path d=1 /></svg>two, <canvas>no</canvas>three.</p></article>") == "One, two, three."
+
+
 def test_importance(spark, docs, empty):
     good = docs.where("doc_id < 20").select("text")
     a = importance.resample(docs, good, 0.5)
