@@ -90,6 +90,17 @@ def placed(sizes: DataFrame) -> DataFrame:
     return rows.select("doc_id", "source", "hash", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("start"))
 
 
+def _dealt(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents placed in the streams of their sources, and slots()."""
+    sizes = sized(docs)
+    sources = plan(sizes)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = placed(sizes)
+    src = sources.select(F.col("source").alias("s_source"), "sid", "source_size", "target")
+    rows = durable(rows.join(src, rows["source"].eqNullSafe(src["s_source"])).drop("s_source"))
+    return rows, slots(sources, parts)
+
+
 def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of docs(doc_id, text, source): documents, one row each (doc_id, hash, size, source_size, target, taken, sid,
     start), and uses, one row for each block that a document reaches into and the mix takes (sid, start, lo, hi, uses:
@@ -100,13 +111,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     at most twice, so no document gives over 2 times its size. All draws hash fixed seeds, ids and texts: reruns agree.
     Whole repeats of a row are documents of their own. Other columns are ignored; an empty table gives empty results.
     """
-    sizes = sized(docs)
-    sources = plan(sizes)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = placed(sizes)
-    src = sources.select(F.col("source").alias("s_source"), "sid", "source_size", "target")
-    rows = durable(rows.join(src, rows["source"].eqNullSafe(src["s_source"])).drop("s_source"))
-    uses = slots(sources, parts).groupBy("sid", "block").agg(F.count("*").alias("uses"))
+    rows, dealt = _dealt(docs)
+    uses = dealt.groupBy("sid", "block").agg(F.count("*").alias("uses"))
     pieces = rows.where("size > 0").select("sid", "start", "size", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")).alias("block"))
     taken = pieces.join(uses, ["sid", "block"]).select(
         "sid", "start", F.greatest(F.lit(0), F.col("block") * BLOCK - F.col("start")).alias("lo"), F.least(F.col("size"), F.col("block") * BLOCK + BLOCK - F.col("start")).alias("hi"), "uses"
@@ -122,6 +128,25 @@ def mixed(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
 
 
+def shards(docs: DataFrame) -> DataFrame:
+    """The output shards: (shard, slot, source, sid, block, text), one row for each slot of a shard, with the words of
+    its block joined by spaces. All shards but the last have SLOTS slots, numbered from 0."""
+    rows, dealt = _dealt(docs)
+    # whole repeats of a row have one text and several places
+    places = rows.where("size > 0").groupBy(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.col("source").alias("__source"), "sid", "size").agg(F.collect_list("start").alias("starts"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__k_id"), native_hash(docs["text"]).alias("__k_hash"), F.col("source").cast("string").alias("__k_source"), F.col("text").cast("string").alias("text"))
+    texts = texts.dropDuplicates(["__k_id", "__k_hash", "__k_source"])
+    on = texts["__k_id"].eqNullSafe(places["__id"]) & (texts["__k_hash"] == places["__hash"]) & texts["__k_source"].eqNullSafe(places["__source"])
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    pieces = texts.join(places, on).select("sid", F.col("__source").alias("source"), "size", words.alias("words"), F.explode("starts").alias("start"))
+    pieces = pieces.select("*", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")).alias("block"))
+    low, high = F.greatest(F.lit(0), F.col("block") * BLOCK - F.col("start")), F.least(F.col("size"), F.col("block") * BLOCK + BLOCK - F.col("start"))
+    pieces = pieces.select("sid", "source", "block", "start", F.array_join(F.slice("words", (low + 1).cast("int"), (high - low).cast("int")), " ").alias("piece"))
+    blocks = pieces.groupBy("sid", "source", "block").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("pieces"))
+    blocks = blocks.select("sid", "source", "block", F.array_join("pieces.piece", " ").alias("text"))
+    return dealt.join(blocks, ["sid", "block"]).select("shard", "slot", "source", "sid", "block", "text")
+
+
 def take(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of docs: of each document one row with the words taken once or more, and one
     more with those taken twice. A text taken whole stays as it is; of others the taken words are joined by a space.

@@ -271,6 +271,25 @@ def test_mixing(docs, rows, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mixing_shards(docs, rows, empty, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 16)
+    got = mixing.shards(docs).collect()
+    sources = [r for r in mixing.plan(mixing.sized(docs)).collect() if r.n_slots]
+    # all slots of all shards once, each source as often as planned
+    n = sum(r.n_slots for r in sources)
+    assert n > 48 and sorted((r.shard, r.slot) for r in got) == [(k // 16, k % 16) for k in range(n)]
+    for s in sources:
+        own = [r for r in got if r.sid == s.sid]
+        assert len(own) == s.n_slots and {r.source for r in own} == {s.source}
+        uses = [sum(r.block == b for r in own) for b in range(s.n_blocks)]
+        assert max(uses) - min(uses) <= 1
+        assert all(len(r.text.split()) == (mixing.BLOCK if r.block < s.n_blocks - 1 else s.source_size - mixing.BLOCK * (s.n_blocks - 1)) for r in own)
+    assert sum(len(r.text.split()) for r in got) == sum(r.taken for r in mixing.mixed(docs).collect())
+    # the draw mixes the sources within the shards
+    assert all(len({r.sid for r in got if r.shard == k}) > 1 for k in range(n // 16))
+    assert mixing.shards(empty).count() == 0
+
+
 def test_fill_reshares_excess():
     sizes, weights = [10, 100, 1000], [3.0, 1.0, 2.0]
     want, capped = [0.0] * 3, set()
