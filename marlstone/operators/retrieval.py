@@ -125,12 +125,16 @@ def with_top(fused: DataFrame) -> DataFrame:
     return fused.withColumn("top_fused", F.max("fused").over(Window.partitionBy("query_id")))
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
+def rerank(candidates: DataFrame, queries: DataFrame, texts: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """relevance = 0.7 fused / highest fused + 0.3 share of the query's words in the match window.
-    top_fused, of with_top(), is the highest over all fused scores, not only the candidates."""
+    top_fused, of with_top(), is the highest over all fused scores, not only the candidates. more(query_id, more) gives
+    further terms to place the match window by."""
     asked = queries.select("query_id", "query", X.content_terms(F.col("query")).alias("terms"), F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.length(w) > 2)).alias("q"))
     rows = candidates.join(asked, "query_id").join(texts, "id")
-    window = match_window(F.col("text"), F.col("terms"))
+    terms = F.col("terms")
+    if more is not None:
+        rows, terms = rows.join(more, "query_id", "left"), F.array_union("terms", F.coalesce("more", F.array().cast("array<string>")))
+    window = match_window(F.col("text"), terms)
     overlap = F.size(F.array_intersect("q", F.split(F.lower(window), r"\s+"))) / F.greatest(F.lit(1), F.size("q"))
     return rows.withColumn("relevance", F.round(FUSED_SHARE * F.col("fused") / F.col("top_fused") + OVERLAP_SHARE * overlap, 6))
 
@@ -161,15 +165,46 @@ def recall_floor(rows: DataFrame, passed: DataFrame, most: int = 3) -> DataFrame
     return best_per(none, ["query_id"], most).withColumn("match_confidence", F.lit("weak"))
 
 
-def search(queries: DataFrame, files: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
-    """The whole pipeline: queries(query_id, query, embedding), files(id, filename, content_hash, status, text),
-    vectors(id, embedding). Returns query_id, id, relevance, match_confidence, rank; one hit per content hash."""
-    live = files.where("status = 'indexed'")
+def _fused(queries: DataFrame, live: DataFrame, vectors: DataFrame, summaries: DataFrame | None) -> DataFrame:
     vector = knn(queries.select("query_id", "embedding"), vectors.join(live.select("id"), "id", "left_semi"))
     keyword = bm25(queries, live.select("id", "text"))
     fused = boosted(fuse(vector, keyword), queries, live.select("id", "filename"))
-    ranked = rerank(pool(with_top(fused)), queries, live.select("id", "text", "content_hash", "filename"))
-    ranked = ranked.withColumn("grounded", grounded_share(F.col("terms"), F.concat_ws(" ", "filename", F.substring("text", 1, 300))))
-    passed = best_per(gate(ranked), ["query_id", "content_hash"], 1)
+    return fused if summaries is None else summary_boosted(fused, summaries.join(live.select("id"), "id", "left_semi"))
+
+
+def _graded(candidates: DataFrame, queries: DataFrame, live: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    ranked = rerank(candidates, queries, live.select("id", "text", "content_hash", "filename"), more)
+    return ranked.withColumn("grounded", grounded_share(F.col("terms"), F.concat_ws(" ", "filename", F.substring("text", 1, 300))))
+
+
+def _hits(passed: DataFrame, limit: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "id")
     return passed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "id", "relevance", "match_confidence", "rank")
+
+
+def search(queries: DataFrame, files: DataFrame, vectors: DataFrame, limit: int = 10, summaries: DataFrame | None = None, floor: bool = False) -> DataFrame:
+    """The whole pipeline: queries(query_id, query, embedding), files(id, filename, content_hash, status, text),
+    vectors(id, embedding). Returns query_id, id, relevance, match_confidence, rank; one hit per content hash. Where
+    given, the summary arm summaries(query_id, id, rank) boosts; with floor, queries without a hit have recall_floor()."""
+    live = files.where("status = 'indexed'")
+    ranked = _graded(pool(with_top(_fused(queries, live, vectors, summaries))), queries, live)
+    passed = best_per(gate(ranked), ["query_id", "content_hash"], 1)
+    if floor:
+        passed = passed.unionByName(recall_floor(best_per(ranked, ["query_id", "content_hash"], 1), passed))
+    return _hits(passed, limit)
+
+
+def union_rescue(queries: DataFrame, variants: DataFrame, files: DataFrame, vectors: DataFrame, limit: int = 10, summaries: DataFrame | None = None) -> DataFrame:
+    """search() with a wider net: each of variants(query_id, query, embedding) retrieves as well, a document's prior is
+    its highest fused score over the phrasings, and 2 POOL of them are reranked and gated by the original query."""
+    live = files.where("status = 'indexed'")
+    phrases = queries.select("query_id", "query", "embedding").unionByName(variants.select("query_id", "query", "embedding"))
+    phrases = phrases.withColumn("phrase", F.xxhash64("query_id", "query")).dropDuplicates(["phrase"])
+    of = phrases.select("query_id", "phrase")
+    arm = None if summaries is None else summaries.join(of, "query_id").select(F.col("phrase").alias("query_id"), "id", "rank")
+    fused = _fused(phrases.select(F.col("phrase").alias("query_id"), "query", "embedding"), live, vectors, arm)
+    prior = fused.withColumnRenamed("query_id", "phrase").join(of, "phrase").groupBy("query_id", "id").agg(F.max("fused").alias("fused"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("fused", 9)), "id")
+    best = with_top(prior).withColumn("at", F.row_number().over(order)).where(F.col("at") <= 2 * POOL).drop("at")
+    more = variants.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(X.content_terms(F.col("query"))))).alias("more"))
+    return _hits(best_per(gate(_graded(best, queries, live, more)), ["query_id", "content_hash"], 1), limit)

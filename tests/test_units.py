@@ -119,3 +119,25 @@ def test_first_per_key_and_suffixes(spark):
     assert C.first_per(rows.limit(0), F.col("content_hash"), F.col("file_id")).count() == 0
     keys = spark.createDataFrame([(1, "total", 0), (1, "total", 1), (1, "date", 2), (2, "total", 3)], "file_id long, key string, at int")
     assert [r.unique_key for r in C.suffixed_keys(keys, "file_id", "key", "at").orderBy("at").collect()] == ["total", "total_2", "date", "total"]
+
+
+def test_search_summaries_floor_and_rescue(spark):
+    from marlstone.operators import retrieval as R
+
+    files = spark.createDataFrame([(k, f"f{k}.txt", f"h{k}", "indexed", t) for k, t in enumerate(["payslip of march gross salary", "catering menu soup", "tax letter"])], "id long, filename string, content_hash string, status string, text string")
+    vectors = spark.createDataFrame([(k, [0.0] * k + [1.0] + [0.0] * (2 - k)) for k in range(3)], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, "zzz yyy", None)], "query_id long, query string, embedding array<float>")
+    arm = spark.createDataFrame([(1, 2, 1)], "query_id long, id long, rank int")
+    variants = spark.createDataFrame([(1, "gross salary", None), (1, "payslip", None)], queries.schema)
+    assert R.search(queries, files, vectors).count() == 0
+    assert [tuple(r)[:2] for r in R.search(queries, files, vectors, summaries=arm).collect()] == [(1, 2)]
+    assert [tuple(r)[:2] for r in R.union_rescue(queries, variants, files, vectors).collect()] == [(1, 0)]
+    # the prior is the best over the phrasings, and the original words are among them
+    assert R.union_rescue(queries, variants.where("false"), files, vectors).count() == 0
+    rows = spark.createDataFrame([(q, k, s) for q, k, s in [(1, 1, 0.3), (1, 2, 0.2), (1, 3, 0.15), (1, 4, 0.13), (1, 5, 0.1), (2, 6, 0.3), (3, 7, 0.1)]], "query_id long, id long, relevance double")
+    got = R.recall_floor(rows, rows.where("query_id = 2"))
+    assert sorted((r.query_id, r.id, r.match_confidence) for r in got.collect()) == [(1, 1, "weak"), (1, 2, "weak"), (1, 3, "weak")]
+    # a vector that is close and weak in words: no hit without the floor
+    far = spark.createDataFrame([(1, "zzz", [1.0, 0.0, 0.0])], queries.schema)
+    plain, floored = R.search(far, files, vectors), R.search(far, files, vectors, floor=True)
+    assert {r.id for r in plain.collect()} <= {r.id for r in floored.collect()}
