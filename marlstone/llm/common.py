@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +19,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: With it a query's shuffle files go when the query ends, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables written by durable() that are still there, in order: folder and (session, number).
+_written: dict[str, tuple[SparkSession, int]] = {}
+_numbers = count()
+
+
+def _folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared checkpoint folder and read from there.
+    """Cut the lineage: write a table to the shared checkpoint folder and read it from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (single-machine tests) a temporary one is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only on a local master that names none a
+    temporary one is made. The table stays until drop() or drop_since(); shuffle files of the writing query go at its end.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    _written[path] = spark, next(_numbers)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def _remove(path: str) -> None:
+    spark, _ = _written.pop(path)
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(to, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of durable() that nothing reads any more."""
+    for t in tables:
+        _remove(t.durable_path)
+
+
+def mark() -> int:
+    """The state that drop_since() goes back to."""
+    return next(_numbers)
+
+
+def drop_since(at: int, *keep: DataFrame) -> None:
+    """Remove all tables written since mark() but those to keep."""
+    kept = {t.durable_path for t in keep}
+    for path in [p for p, (_, n) in _written.items() if n > at and p not in kept]:
+        _remove(path)
 
 
 def text_bytes(text: str | None) -> bytes:
@@ -55,7 +106,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of (u, v) edges of longs, as (node, root): root is the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014). Each is one pre-aggregated minimum and one
-    equi-join, so a hot centre is split by the skew join; each round is cut by a checkpoint.
+    equi-join, so a hot centre is split by the skew join; each round is cut by a written table; the one before it goes.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = durable(edges)
@@ -72,7 +123,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
-        edges = durable(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        last, edges = edges, durable(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        drop(last)
         now = mark(edges)
         if now == seen:
             break

@@ -171,48 +171,6 @@ def test_quality_rules_limits_of_the_pipeline(spark):
     assert quality_rules.judge(frame, enough=12).where("lost_words > 0").count() == 0
 
 
-def test_line_helpers():
-    words = b"a b c d e f g h i j k".split()
-    assert [v for v, k in line_dedup.variants(words)][1:] == [line_dedup._hash(words[:k] + words[k + 1 :]) for k in range(11)]
-    rng = random.Random(4)
-    for _ in range(200):
-        other = list(words)
-        how = rng.randrange(3)
-        at = rng.randrange(11)
-        if how == 0:
-            other[at] = b"z"
-        elif how == 1:
-            del other[at]
-        else:
-            other.insert(at, b"z")
-        assert line_dedup.within_one(words, other) and line_dedup.within_one(other, words)
-        assert set(line_dedup.halves(words)) & set(line_dedup.halves(other))
-    assert not line_dedup.within_one(words, words[2:])
-
-
-def test_line_dedup(docs, rows, empty):
-    seen, first, out = {}, [], {}
-    order = sorted({(d is None, d or 0, quality_rules.signed(xxhash.xxh64_intdigest((t or "").encode(), 42)), t) for d, t, _, _ in rows}, key=lambda r: r[:3])
-    for null, d, _, t in order:
-        kept = []
-        for line in (t or "").split("\n"):
-            w = line_dedup.line_words(line.encode())
-            if len(w) >= line_dedup.MIN_WORDS:
-                key = tuple(w)
-                gone = key in seen or len(w) >= line_dedup.MIN_NEAR and any(len(o) >= line_dedup.MIN_NEAR and line_dedup.within_one(list(o), w) for o in first)
-                if key not in seen:
-                    seen[key] = True
-                    first.append(key)
-                if gone:
-                    continue
-            kept.append(line)
-        out[(None if null else d, t)] = None if t is None else "\n".join(kept)
-    got = line_dedup.dedup_lines(docs.withColumn("before", F.col("text")))
-    assert sorted(map(str, ((r.doc_id, r.before, r["__text"]) for r in got.collect()))) == sorted(map(str, ((d, t, out[(d, t)]) for d, t, _, _ in rows)))
-    assert line_dedup.keep_lines(docs).columns == docs.columns
-    assert line_dedup.dedup_lines(empty).count() == 0
-
-
 def word_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -230,30 +188,87 @@ def edited(rng, words, edits):
     return words
 
 
-def test_near_lines():
-    rng = random.Random(6)
-    for _ in range(400):
-        a = [w.encode() for w in text(rng, 1, rng.randrange(10, 90)).split()]
-        b = [w.encode() for w in edited(rng, [w.decode() for w in a], rng.randrange(12))]
-        k = min(len(a), len(b)) // 10
-        assert line_dedup.near(a, b) == (word_distance(a, b) <= k)
-        if min(len(a), len(b)) >= 20 and word_distance(a, b) <= k:
-            no, keys = line_dedup.prefixes([a, b])
-            assert set(keys[no == 0]) & set(keys[no == 1])
-            assert (line_dedup.parities(a) ^ line_dedup.parities(b)).bit_count() <= 2 * k
+def alike(a, b):
+    """Near copies, by the definition: lists of words, lower-cased."""
+    if min(len(a), len(b)) >= 10:
+        return word_distance(a, b) <= min(len(a), len(b)) // 10
+    x, y = " ".join(a), " ".join(b)
+    return max(len(a), len(b)) < 10 and min(len(x), len(y)) >= 10 and word_distance(x, y) <= 1
+
+
+def lower(line):
+    return [w.decode() for w in line_dedup.line_words(line.encode())]
+
+
+def left_by_brute_force(rows):
+    """(doc_id, text) -> text left."""
+    seen, first, out = set(), [], {}
+    order = sorted({(d is None, d or 0, quality_rules.signed(xxhash.xxh64_intdigest((t or "").encode(), 42)), t) for d, t in rows}, key=lambda r: r[:3])
+    for null, d, _, t in order:
+        kept = []
+        for line in (t or "").split("\n"):
+            w = lower(line)
+            gone = bool(w) and (tuple(w) in seen or any(alike(o, w) for o in first))
+            if w and tuple(w) not in seen:
+                seen.add(tuple(w))
+                first.append(w)
+            if not gone:
+                kept.append(line)
+        out[(None if null else d, t)] = None if t is None else "\n".join(kept)
+    return out
+
+
+def some_near(rng):
+    n = rng.choice([*range(2, 24), *range(24, 130, 7)])
+    a = text(rng, 1, n).split()
+    if n >= 10 or rng.random() < 0.3:
+        return a, edited(rng, a, rng.randrange(1, 2 + n // 10))
+    line = " ".join(a)
+    at, how = rng.randrange(len(line)), rng.randrange(3)
+    return a, (line[:at] + ("" if how == 0 else rng.choice("xé ")) + line[at + (how < 2) :]).split()
+
+
+def test_near_lines_share_a_variant():
+    rng, near = random.Random(6), 0
+    for _ in range(1500):
+        a, b = some_near(rng)
+        x, y = ([w.encode() for w in v] for v in (a, b))
+        assert line_dedup.near(x, y) == alike(a, b)
+        if a and b and alike(a, b):
+            near += 1
+            one, other = line_dedup.variants([x, y])
+            assert set(one) & set(other)
+            low, high = line_dedup.Lines([x, y]).parities()
+            assert int(low[0] ^ low[1]).bit_count() + int(high[0] ^ high[1]).bit_count() <= (2 * (min(len(a), len(b)) // 10) or 3)
+    assert near > 500
+    # all words alike: no class but one has a word
+    x, y = ([b"a"] * 40, [b"a"] * 37)
+    assert set(line_dedup.variants([x])[0]) & set(line_dedup.variants([y])[0])
+
+
+def test_line_dedup(docs, rows, empty):
+    got = line_dedup.dedup_lines(docs.withColumn("before", F.col("text")))
+    out = left_by_brute_force([(d, t) for d, t, _, _ in rows])
+    assert sorted(map(str, ((r.doc_id, r.before, r["__text"]) for r in got.collect()))) == sorted(map(str, ((d, t, out[(d, t)]) for d, t, _, _ in rows)))
+    assert line_dedup.keep_lines(docs).columns == docs.columns
+    assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_long_line_dedup(spark):
+def test_line_dedup_of_all_lengths(spark, tmp_path, monkeypatch):
     rng = random.Random(7)
-    base = [text(rng, 1, n).split() for n in (20, 25, 34, 50, 50, 120, 300)]
-    lines = [" ".join(w) for w in base] + [" ".join(edited(rng, rng.choice(base), rng.randrange(1, 9))) for _ in range(150)]
-    got = {r.doc_id: r["__text"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
-    split, dropped = [line.split() for line in lines], 0
-    for k, words in enumerate(split):
-        gone = any(word_distance(words, o) <= min(len(words), len(o)) // 10 for o in split[:k])
-        assert got[k] == ("" if gone else lines[k])
-        dropped += gone and not any(line_dedup.within_one([w.encode() for w in o], [w.encode() for w in words]) for o in split[:k])
-    assert dropped > 20
+    lines = [line for _ in range(150) for line in some_near(rng)]
+    rng.shuffle(lines)
+    lines = [" ".join(w) for w in lines] + ["", " ", "same"] * 3 + ["A  b\tc d", "a b c D"]
+    rows = [(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(len(lines) // 3 + 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = left_by_brute_force(rows)
+    for hot in (line_dedup.HOT, 10):  # the second makes the line "same" hot
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        got = line_dedup.op10_line_dedup(spark, str(tmp_path)).collect()
+        assert {r.doc_id: r.text for r in got} == {d: out[(d, t)] for d, t in rows}
+        assert all(r.n_words == len(r.text.split()) for r in got)
+    near = sum(r.n_near for r in got)
+    assert near > 60 and sum(r.n_exact for r in got) == sum(map(len, (t.split("\n") for _, t in rows))) - sum(map(len, (r.text.split("\n") for r in got if r.text or not rows[r.doc_id][1]))) - near
 
 
 def test_mixing(docs, rows, empty):
