@@ -12,12 +12,10 @@
 
 from __future__ import annotations
 
-import sys
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from itertools import chain
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +27,8 @@ from .common import durable, table
 
 LIMIT, GRID, PARTS = 4096, 32, 3
 END = 1
-#: Words and word pieces whose ids a worker process remembers; then the memory starts anew.
-REMEMBER, REMEMBER_PIECES = 400_000, 900_000
+#: Words and word pieces whose ids a task remembers; then the memory starts anew.
+REMEMBER, REMEMBER_PIECES = 400_000, 400_000
 #: Texts that are encoded together.
 TEXTS = 256
 #: Tokens of the tokenizer's pre-tokenizer, over lower-cased text.
@@ -43,13 +41,11 @@ def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to ids, as little-endian 32-bit bytes. The tokenizer splits at white space and encodes each piece of a word
     alone, so the ids of words are remembered, and the new pieces of many texts are encoded at once, joined by spaces;
     texts with other characters or special tokens go through the tokenizer whole."""
-    import gc
     import re
 
     import regex
     from tokenizers import Tokenizer, pre_tokenizers
 
-    gc.disable()  # millions of small objects, none of them in cycles
     full = Tokenizer.from_str(spec)
     specials = [t.content for t in full.get_added_tokens_decoder().values()]
     odd, split = re.compile(PLAIN), regex.compile(PIECE).findall
@@ -95,21 +91,24 @@ def encoder(spec: str) -> Callable[[list[str]], list[bytes]]:
 
 
 def _piece_batches(spec: Callable[[], str], limit: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = spec()
-        # a worker process runs many tasks: what it has learnt stays with it, under the vocabulary's digest
-        kept = sys.modules.setdefault("_marlstone_encoders", ModuleType("_marlstone_encoders")).__dict__
-        key = f"e{zlib.crc32(text.encode())}"
-        if key not in kept:
-            kept[key] = encoder(text)
-        encode = kept[key]
+    def rows_of(encode: Callable, b: pa.RecordBatch) -> pa.RecordBatch:
+        rows: list[tuple] = []
         end, width = np.asarray([END], "<u4").tobytes(), 4 * limit
-        for b in batches:
-            rows: list[tuple] = []
-            for doc, data in zip(b.column(0).to_pylist(), (x for at in range(0, b.num_rows, TEXTS) for x in encode([t or "" for t in b.column(1)[at : at + TEXTS].to_pylist()])), strict=True):
-                data += end
-                rows += [(doc, k, at // 4, len(part := data[at : at + width]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(data), width))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for doc, data in zip(b.column(0).to_pylist(), (x for at in range(0, b.num_rows, TEXTS) for x in encode([t or "" for t in b.column(1)[at : at + TEXTS].to_pylist()])), strict=True):
+            data += end
+            rows += [(doc, k, at // 4, len(part := data[at : at + width]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(data), width))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+
+        encode = encoder(spec())
+        gc.disable()  # millions of small objects, none of them in cycles; a worker's next task has it back
+        try:
+            for b in batches:
+                yield rows_of(encode, b)
+        finally:
+            gc.enable()
 
     return run
 
