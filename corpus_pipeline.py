@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import line_dedup, mixing, packing, quality_rules, simhash
-from marlstone.llm.common import durable
+from marlstone.llm.common import drop_since, durable, mark
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for _, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir))
+        drop_since(began, docs)
     return docs
