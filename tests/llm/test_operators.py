@@ -236,14 +236,14 @@ def test_near_lines_share_a_variant():
         assert line_dedup.near(x, y) == alike(a, b)
         if a and b and alike(a, b):
             near += 1
-            no, key = line_dedup.variants([x, y])
+            no, key = line_dedup.variants([b" ".join(x), b" ".join(y)])
             assert set(key[no == 0]) & set(key[no == 1])
-            low, high = line_dedup.Lines([x, y]).parities()
+            low, high = line_dedup.Lines([b" ".join(x), b" ".join(y)]).parities()
             assert int(low[0] ^ low[1]).bit_count() + int(high[0] ^ high[1]).bit_count() <= (2 * (min(len(a), len(b)) // 10) or 3)
     assert near > 500
     # all words alike: no class but one has a word
     x, y = ([b"a"] * 40, [b"a"] * 37)
-    assert set(line_dedup.variants([x])[1]) & set(line_dedup.variants([y])[1])
+    assert set(line_dedup.variants([b" ".join(x)])[1]) & set(line_dedup.variants([b" ".join(y)])[1])
 
 
 def test_line_dedup(docs, rows, empty):
@@ -262,8 +262,9 @@ def test_line_dedup_of_all_lengths(spark, tmp_path, monkeypatch):
     rows = [(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(len(lines) // 3 + 1)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = left_by_brute_force(rows)
-    for hot in (line_dedup.HOT, 10):  # the second makes the line "same" hot
+    for hot, sample in ((line_dedup.HOT, line_dedup.SAMPLE), (10, 1)):  # the second makes lines and variants hot
         monkeypatch.setattr(line_dedup, "HOT", hot)
+        monkeypatch.setattr(line_dedup, "SAMPLE", sample)
         got = line_dedup.op10_line_dedup(spark, str(tmp_path)).collect()
         assert {r.doc_id: r.text for r in got} == {d: out[(d, t)] for d, t in rows}
         assert all(r.n_words == len(r.text.split()) for r in got)
