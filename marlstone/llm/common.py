@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: With it a query's shuffle files go when the query ends, not when the driver next collects garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: a query's shuffle files go when the query ends, not when the driver next collects garbage; and
+#: batches for Python workers are bounded by their bytes, since texts may be long.
+_WHILE_WRITTEN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Tables written by durable() that are still there, in order: folder and (session, number).
 _written: dict[str, tuple[SparkSession, int]] = {}
 _numbers = count()
@@ -44,12 +45,14 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WHILE_WRITTEN}
     try:
+        for k, v in _WHILE_WRITTEN.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _written[path] = spark, next(_numbers)
     out = spark.read.schema(df.schema).parquet(path)
     out.durable_path = path

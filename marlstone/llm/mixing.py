@@ -21,7 +21,7 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 ROUNDS, SEED = 8, 20240
 _CHUNK = 1 << 15
-_BUCKET_DOCS = 4000
+_BUCKET_DOCS = 256
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:

@@ -148,8 +148,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its near-duplicate component; all columns stay.
 
-    Rows without an id are kept only if their fingerprint has no row with one. Of rows that repeat the smallest id, all
-    stay if they are whole repeats.
+    Rows without an id all stay: none of them can be named as the one to keep. Rows that repeat the smallest id all stay.
     """
     found = near_duplicates(docs)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
