@@ -114,7 +114,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows, dealt = _dealt(docs)
     uses = dealt.groupBy("sid", "block").agg(F.count("*").alias("uses"))
     pieces = rows.where("size > 0").select("sid", "start", "size", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")).alias("block"))
-    taken = pieces.join(uses, ["sid", "block"]).select(
+    # neither side's size has a bound: never a broadcast, at any size
+    taken = pieces.hint("merge").join(uses, ["sid", "block"]).select(
         "sid", "start", F.greatest(F.lit(0), F.col("block") * BLOCK - F.col("start")).alias("lo"), F.least(F.col("size"), F.col("block") * BLOCK + BLOCK - F.col("start")).alias("hi"), "uses"
     )
     return rows, taken
@@ -154,14 +155,14 @@ def take(docs: DataFrame) -> DataFrame:
     rows, taken = mix(docs)
     spans = taken.select("*", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))).alias("copy")).groupBy("sid", "start", "copy").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.expr("hi - lo")).alias("n"))
     rows = rows.select("sid", "start", "size", F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.col("source").alias("__source"))
-    rows = rows.where("size > 0").join(spans, ["sid", "start"]).select("__id", "__hash", "__source", "size", "start", "copy", "n", "spans")
+    rows = rows.where("size > 0").hint("merge").join(spans, ["sid", "start"]).select("__id", "__hash", "__source", "size", "start", "copy", "n", "spans")
     # whole repeats of a row share id, hash and source: each meets one of the rows' shares
     nth = Window.partitionBy("__id", "__hash", "__source", "copy").orderBy("start")
     shares = rows.withColumn("__nth", F.row_number().over(nth)).groupBy("__id", "__hash", "__source", "__nth").agg(F.collect_list(F.struct("size", "n", "spans")).alias("__shares"))
     keyed = docs.withColumns({"__k_id": F.col("doc_id").cast("long"), "__k_hash": native_hash(docs["text"]), "__k_source": F.col("source").cast("string")})
     keyed = keyed.withColumn("__k_nth", F.row_number().over(Window.partitionBy("__k_id", "__k_hash", "__k_source").orderBy("__k_hash")))
     on = keyed["__k_id"].eqNullSafe(shares["__id"]) & (keyed["__k_hash"] == shares["__hash"]) & keyed["__k_source"].eqNullSafe(shares["__source"]) & (keyed["__k_nth"] == shares["__nth"])
-    both = keyed.join(shares, on).withColumn("__share", F.explode("__shares"))
+    both = keyed.join(shares.hint("merge"), on).withColumn("__share", F.explode("__shares"))
     words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"({WORD})"), F.lit(1))
     cut = F.flatten(F.transform("__share.spans", lambda s: F.slice(words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int"))))
     out = both.withColumn("text", F.when(F.col("__share.n") == F.col("__share.size"), F.col("text")).otherwise(F.array_join(cut, " ")))

@@ -153,6 +153,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     lone = docs.where("doc_id is null")
+    keep = keep.hint("merge")  # it grows with the documents: never a broadcast
     kept = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
     return kept.unionByName(lone)
 
