@@ -159,6 +159,37 @@ def location(ref: Column) -> Column:
     return F.struct(kind.alias("kind"), first.alias("start"), F.coalesce(last, first).alias("end"))
 
 
+def page_of(ref: Column) -> Column:
+    """The page number in a location text, or null."""
+    return _group(ref, r"(?i)page\s+(\d+)", 1).try_cast("long")
+
+
+#: Four or more single capitals with one space between neighbours.
+_SPACED = r"(?U)(?<!\w)[A-Z] (?:[A-Z] ){2,}[A-Z](?!\w)"
+
+
+def squeezed(text: Column) -> Column:
+    """Words of spaced-out capitals closed up, runs of spaces as one."""
+    pieces, runs = F.split(text, _SPACED, -1), F.regexp_extract_all(text, F.lit(_SPACED), F.lit(0))
+    closed = F.array_join(F.zip_with(pieces, runs, lambda a, b: F.concat(a, F.coalesce(F.replace(b, F.lit(" "), F.lit("")), F.lit("")))), "")
+    return F.regexp_replace(F.when(text.rlike(_SPACED), closed).otherwise(text), "  +", " ")
+
+
+def keep_extension(suggested: Column, filename: Column) -> Column:
+    """A suggested name under the real extension of the file; without a suggestion the name it has."""
+    split = r"^(.*?[^./][^/]*)(\.[^./]*)$"
+    ext, name = F.regexp_extract(filename, split, 2), F.trim(suggested)
+    root = F.coalesce(_group(name, split, 1), name)
+    return F.when(F.coalesce(suggested, F.lit("")) == "", filename).when(ext == "", name).otherwise(F.concat(root, ext))
+
+
+def suggestion(raw: Column) -> Column:
+    """A category label of at most three plain words; empty if there are none or more than four."""
+    plain = F.regexp_replace(F.lower(F.trim(raw)), "[^a-z0-9 /&-]", " ")
+    parts = F.filter(F.split(plain, " "), lambda w: w != "")
+    return F.when(F.size(parts).between(1, 4), F.array_join(F.slice(parts, 1, 3), " ")).otherwise("")
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

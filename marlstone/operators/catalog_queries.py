@@ -190,3 +190,56 @@ def preview(hits: DataFrame, width: int = 300) -> DataFrame:
 def unwatched(files: DataFrame, extensions: list[str]) -> DataFrame:
     """Files whose extension isn't among those (lower-case) watched."""
     return files.where(~F.lower("extension").isin(*extensions))
+
+
+def scopes(path: Column, folders: list[str]) -> Column:
+    """Whether a path is in one of the folders; of no folders, none."""
+    return reduce(lambda a, b: a | b, [scope(path, f) for f in folders], F.lit(False))
+
+
+def with_summary(files: DataFrame, summaries: DataFrame) -> DataFrame:
+    """files with the columns of summaries(file_id, ...), null where a file has none."""
+    return files.join(summaries, "file_id", "left")
+
+
+def provenance(facts: DataFrame, files: DataFrame, summaries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """facts(file_id, chunk_index, ...) with the file they come from, and where there are, its summary and the chunk."""
+    rows = facts.join(files.select("file_id", "filename", F.col("path").alias("file_path")), "file_id").join(summaries, "file_id", "left")
+    return rows.join(chunks.select("file_id", "chunk_index", F.col("text").alias("chunk_text")), ["file_id", "chunk_index"], "left")
+
+
+def page_of_hits(hits: DataFrame, offset: int, limit: int, factor: int = 4) -> DataFrame:
+    """A page of hits(file_id, content_hash, score) after copies are gone: of factor times what is asked, the best of
+    each hash, then offset and limit. A top-k report."""
+    order = [F.desc("score"), F.col("file_id")]
+    best = hits.orderBy(*order).limit(factor * (offset + limit))
+    return first_per(best, hash_or_own(F.col("file_id"), F.col("content_hash")), *order).orderBy(*order).offset(offset).limit(limit)
+
+
+def latest(rows: DataFrame, id_: str) -> DataFrame:
+    """The row with the highest id."""
+    return rows.orderBy(F.desc(id_)).limit(1)
+
+
+def roots(files: DataFrame, home: str, preferred: list[str]) -> DataFrame:
+    """root, preferred: the folder under home that holds each indexed file, or outside of home the file's own folder."""
+    home = home.rstrip("/")
+    inside = F.col("path").startswith(home + "/")
+    first = F.concat(F.lit(home + "/"), F.split(F.substring("path", F.lit(len(home) + 2), F.length("path")), "/")[0])
+    rows = files.where("status = 'indexed'").select(F.when(inside, first).otherwise(F.regexp_extract("path", "^(.*)/[^/]*$", 1)).alias("root")).distinct()
+    return rows.withColumn("preferred", F.col("root").isin(*[f"{home}/{p}" for p in preferred]))
+
+
+def by_frequency(rows: DataFrame, column: str) -> DataFrame:
+    """Distinct values, the most frequent first by their place."""
+    return rows.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
+
+
+def allowed(fields: Column, names: list[str]) -> Column:
+    """A map without the keys that aren't named."""
+    return F.map_filter(fields, lambda k, v: k.isin(*names) & v.isNotNull())
+
+
+def hash_lookup(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """For wanted(content_hash) the least id of a file that has it, or null."""
+    return wanted.select("content_hash").distinct().join(files.groupBy("content_hash").agg(F.min("file_id").alias("file_id")), "content_hash", "left")

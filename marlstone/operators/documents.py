@@ -122,7 +122,7 @@ def clean_facts(facts: Column) -> Column:
     """A card's map without placeholders, all-x values and table dumps; keys lose a leading total_."""
     value = lambda v: F.regexp_replace(F.lower(F.trim(v)), r"\.+$", "")
     kept = F.map_filter(facts, lambda k, v: ~value(v).isin(*PLACEHOLDERS) & ~value(v).rlike("^x{3,}$") & ~F.lower(F.trim(k)).isin(*DUMP_KEYS) & ~F.lower(F.trim(k)).rlike(r"^(sample\s+)?row\s*\d+$"))
-    return F.transform_keys(kept, lambda k, v: F.when(k.startswith("total_") & (k != "total_rows"), F.substring(k, 7, 1000)).otherwise(k))
+    return F.transform_keys(kept, lambda k, v: F.when(k.startswith("total_") & (k != "total_rows"), F.substring(k, F.lit(7), F.length(k))).otherwise(k))
 
 
 def containment(value: Column, source: Column) -> Column:

@@ -63,9 +63,13 @@ def clone(chunks: DataFrame, twin: DataFrame) -> DataFrame:
     return chunks.join(twin.select(F.col("twin").alias("file_id"), F.col("file_id").alias("to_id")), "file_id").withColumn("file_id", F.col("to_id")).drop("to_id")
 
 
-def enqueue(queue: DataFrame, changes: DataFrame) -> DataFrame:
-    """A new change starts anew: pending, no attempts."""
+def enqueue(queue: DataFrame, changes: DataFrame, reset_attempts: bool = False) -> DataFrame:
+    """The queue with changes(path, kind, queued_at, priority, recency) pending. A path that is queued already keeps its
+    attempts, unless reset."""
     new = changes.select("path", F.col("kind").alias("event_type"), "queued_at", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("last_error"), "priority", "recency")
+    if not reset_attempts:
+        tried = queue.select("path", F.col("attempts").alias("tried"))
+        new = new.join(tried, "path", "left").withColumn("attempts", F.coalesce("tried", "attempts")).drop("tried")
     return upsert(queue, new, "path")
 
 
@@ -96,3 +100,23 @@ def settle(queue: DataFrame, results: DataFrame, attempts: int = ATTEMPTS) -> Da
 def stale(files: DataFrame, version: int) -> DataFrame:
     """Files to process again: changed, or of an older index version."""
     return files.where((F.col("index_version") < version) | ~F.col("content_hash").eqNullSafe(F.col("seen_hash")))
+
+
+def health(files: DataFrame, queue: DataFrame) -> DataFrame:
+    """One row: files indexed, rows of the queue that are open, and whether the index is up to date."""
+    open_ = F.col("status").isin("pending", "processing")
+    counts = files.agg(F.count_if(F.col("status") == "indexed").alias("files_indexed")).crossJoin(queue.agg(F.count_if(open_).alias("queue_pending")))  # one row each
+    return counts.withColumn("status", F.when(F.col("queue_pending") > 0, "indexing").otherwise("up_to_date"))
+
+
+def runtime_counts(files: DataFrame, queue: DataFrame) -> DataFrame:
+    """One row: files indexed and failed, queue rows pending and failed, megabytes of the files."""
+    is_ = lambda v: F.count_if(F.col("status") == v)
+    counts = files.agg(is_("indexed").alias("files_indexed"), is_("failed").alias("files_failed"), F.round(F.sum("size_bytes") / 1e6, 1).alias("size_mb"))
+    return counts.crossJoin(queue.agg(is_("pending").alias("queue_pending"), is_("failed").alias("queue_failed")))  # one row each
+
+
+def current(queue: DataFrame) -> DataFrame:
+    """The row that is worked on, or is next: processing first, then priority, recency."""
+    first = F.when(F.col("status") == "processing", 0).otherwise(1)
+    return queue.where(F.col("status").isin("pending", "processing")).orderBy(first, F.desc("priority"), F.desc("recency"), "path").limit(1)

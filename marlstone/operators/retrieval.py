@@ -21,6 +21,7 @@ RRF_K, VECTOR_WEIGHT, KEYWORD_WEIGHT, SUMMARY_BOOST, NAME_BOOST = 60, 0.7, 0.3,
 KNN_K, BM25_K, POOL, GUARANTEED, PER_FILE = 50, 50, 24, 10, 3
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FLOOR, LEXICAL_SHARE, LEXICAL_FLOOR, STRONG = 0.40, 0.34, 0.30, 0.55
+CROSS_WEIGHT = 0.65
 FUSED_SHARE, OVERLAP_SHARE, TEXT_CHARS, BACKFILL_FLOOR = 0.7, 0.3, 360, 0.12
 #: Queries that meet a partition of vectors at once; more make further passes.
 QUERY_BLOCK = 1024
@@ -139,6 +140,27 @@ def rerank(candidates: DataFrame, queries: DataFrame, texts: DataFrame, more: Da
     return rows.withColumn("relevance", F.round(FUSED_SHARE * F.col("fused") / F.col("top_fused") + OVERLAP_SHARE * overlap, 6))
 
 
+def typed(hits: DataFrame, kind: str | None) -> DataFrame:
+    """hits without those of another document_type; what has no type stays."""
+    return hits.where(F.col("document_type").isNull() | (F.col("document_type") == kind)) if kind else hits
+
+
+def max_merged(*scores: DataFrame) -> DataFrame:
+    """The highest score of each (query_id, id) over several tables of scores."""
+    rows = scores[0].select("query_id", "id", "score")
+    for more in scores[1:]:
+        rows = rows.unionByName(more.select("query_id", "id", "score"))
+    return rows.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+
+
+def cross_scored(candidates: DataFrame, weight: float = CROSS_WEIGHT) -> DataFrame:
+    """candidates(query_id, id, logit, fused) with relevance: the cross-encoder's sigmoid and the share of the query's
+    highest fused score, weighted."""
+    top = F.max("fused").over(Window.partitionBy("query_id"))
+    prior = F.when(top > 0, F.coalesce(F.col("fused"), F.lit(0.0)) / top).otherwise(0.0)
+    return candidates.withColumn("relevance", weight * X.sigmoid(F.col("logit")) + (1 - weight) * prior)
+
+
 def grounded_share(terms: Column, text: Column) -> Column:
     """Share of terms that occur as words of the text; endings s, es, ed, ly are forgiven for words of 5 letters or more."""
     stem = lambda w: F.when(F.length(w) >= 5, F.regexp_replace(w, "(es|ed|ly|s)$", "")).otherwise(w)

@@ -610,3 +610,6 @@ def _(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return hybrid_search(spark, d)
+
+
+from . import write_queries  # noqa: E402, F401  registers the queries of cards and of the write side
