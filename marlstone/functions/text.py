@@ -44,6 +44,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))
 
 
+def word_count(text: Column) -> Column:
+    """The size of words(), without making them."""
+    return F.regexp_count(F.lower(text), F.lit(r"(?U)(\w+)"))
+
+
 def content_terms(text: Column) -> Column:
     return F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
 

@@ -25,6 +25,8 @@ CROSS_WEIGHT = 0.65
 FUSED_SHARE, OVERLAP_SHARE, TEXT_CHARS, BACKFILL_FLOOR = 0.7, 0.3, 360, 0.12
 #: Queries that meet a partition of vectors at once; more make further passes.
 QUERY_BLOCK = 1024
+#: Distinct query terms that are counted before they are broadcast; more meet the postings in a shuffle.
+BROADCAST_TERMS = 200_000
 
 
 def _block_search(ids: list, matrix: np.ndarray, k: int) -> Callable:
@@ -59,19 +61,21 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = KNN_K, block: int = QUE
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """id, term, tf, length of each text of chunks(id, text)."""
+def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """id, term, tf, length of each text of chunks(id, text); of the given terms(term) only, which are dropped before
+    anything is shuffled where they are few enough to go to each task."""
     rows = chunks.select("id", X.words(F.col("text")).alias("w")).select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
+    if terms is not None:
+        rows = rows.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi")
     return rows.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = BM25_K) -> DataFrame:
     """Keyword scores of queries(query_id, query) over chunks(id, text): query_id, id, score, rank; higher is better.
     Repeated query terms count repeatedly. Inverse document frequencies under LEAST_IDF are raised to it."""
-    post = postings(chunks)
     asked = queries.select("query_id", F.explode(F.filter(X.words(F.col("query")), lambda w: F.length(w) > 1)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = post.join(asked.select("term").distinct(), "term", "left_semi")
-    stats = chunks.select(F.size(X.words(F.col("text"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_length"))
+    wanted = postings(chunks, asked.select("term").distinct())
+    stats = chunks.select(X.word_count(F.col("text")).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean_length"))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weights = asked.join(df, "term").join(F.broadcast(stats), F.lit(True)).select("query_id", "term", (idf * F.col("times")).alias("w"), "mean_length")  # one row of totals

@@ -368,7 +368,8 @@ def _(spark, d):
     return D.composite(pages).select("file_id", "pages", "median_words", "overlap")
 
 
-@query("section_anchor")
+@query("section_anchor", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents), f AS (SELECT doc_id, coalesce(list_filter(l, lambda x: len(regexp_extract_all(x, '[A-Za-z]{2,}')) >= 3 AND NOT regexp_matches(x, '""" + D.BOILERPLATE + r"""'))[1], l[1], '') AS line FROM l)
+SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '')[1:18], ' ') AS anchor FROM f""")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", D.section_anchor(F.col("text")).alias("anchor"))
 
@@ -492,7 +493,8 @@ def _(spark, d):
     return out.withColumns({c: F.substring(c, 1, 19) for c in ("first_seen", "last_seen")})
 
 
-@query("eval_hit_at_k")
+@query("eval_hit_at_k", f"""WITH {BM25}, h AS (SELECT query_id, min(rank) AS first FROM bm JOIN documents ON doc_id = id JOIN benchmark b ON item_id = query_id WHERE rank <= 10 AND contains(documents.text, b.text) GROUP BY 1), f AS (SELECT item_id, first FROM benchmark LEFT JOIN h ON query_id = item_id)
+SELECT CASE WHEN first IS NULL THEN 'negative' ELSE 'known' END AS kind, count(*) AS n, """ + ", ".join(f"round(avg((coalesce(first, 99) <= {k})::INT), 6) AS hit_{k}" for k in (1, 3, 5, 10)) + """, round(avg(coalesce(1 / first::DOUBLE, 0)), 6) AS mrr FROM f GROUP BY 1""")
 def _(spark, d):
     b = table(spark, d, "benchmark")
     hits = R.bm25(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), _texts(spark, d), 10)

@@ -5,7 +5,6 @@ import os
 import __spark_entry__ as entry
 import oracle
 import pytest
-from marlstone.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -16,9 +15,9 @@ def con():
     return oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(registry.SQL))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_matches_sql(spark, con, name):
-    assert oracle.differences(spark, con, SF, registry.Q[name], registry.SQL[name]) == ""
+    assert oracle.differences(spark, con, SF, entry.queries()[name], entry.oracle_sql()[name]) == ""
 
 
 def test_entry(spark):
