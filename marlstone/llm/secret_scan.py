@@ -11,6 +11,8 @@ histogram of the weighted p-values in steps of a tenth of a decade, so at most B
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,8 +54,17 @@ def _found(text: Column, pattern: str, kind: int, keep: str | None = None) -> Co
 
 
 def _phi(z: Column) -> Column:
-    """Normal distribution function (logistic approximation, within 0.0002; heavier tails are floored by the caller)."""
-    return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
+    """Normal distribution function, its lower tail to a relative 1e-8: a continued fraction beyond 2, a series within."""
+
+    def tail(x: Column) -> Column:
+        a = F.abs(x)
+        density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), a, lambda c, k: a + k / c)
+        series = F.aggregate(F.sequence(F.lit(30), F.lit(1), F.lit(-1)), F.lit(1.0), lambda c, k: 1 + a * a / (2 * k + 1) * c)
+        low = F.when(a < 2, 0.5 - density * a * series).otherwise(density / fraction)
+        return F.when(x <= 0, low).otherwise(1 - low)
+
+    return F.get(F.transform(F.array(z), tail), 0)  # z is worked out once
 
 
 def _tested(token: Column) -> Column:

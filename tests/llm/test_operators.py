@@ -501,3 +501,11 @@ def test_importance(spark, docs, empty):
     limit = keys[round(0.5 * len(keys)) - 1]
     assert all(r.kept == (r.gumbel_key >= limit) for r in rows)
     assert importance.resample(empty, good).count() == 0
+
+
+def test_normal_tails(spark):
+    import math
+
+    z = [k / 8 for k in range(-96, 97)]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", secret_scan._phi(F.col("z")).alias("p")).collect()
+    assert all(abs(r.p / (math.erfc(-r.z / math.sqrt(2)) / 2) - 1) < 1e-7 for r in got) and len(got) == len(z)
