@@ -1,6 +1,6 @@
 """Catalog views over the raw tables: files, chunks, typed facts, entities, queue events, gold queries.
 
-Each view has one mapping, given here for Spark and in plans/oracle.py for SQL.
+Each view has one mapping, given here for Spark and in plans/registry.py for SQL.
 """
 
 from __future__ import annotations
