@@ -18,8 +18,9 @@ Variants, of which any two near copies share one (so the join loses no pair):
 
 Variants that one line alone has go no further. Of the lines that share a variant, the earliest is the keeper: the others
 are screened against it by length and by the parities of their words in 128 classes, of which an edit changes two at most,
-then verified, and those that are near copies of it go. So a line meets one keeper for each of its variants, never all the
-lines that share them. A line that is a near copy of others but of none of its keepers stays (README: how many).
+then verified, and those that are near copies of it go. Lines that are left, and share a variant with three lines or more,
+then meet all earlier lines of that variant in the same way. So a line goes if it is a near copy of any earlier line, and a
+large group of near copies is never expanded into pairs, since its keeper takes nearly all of it.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ GRAM, WIDER, SPARE = 2, 1.25, 3
 HOT = 50_000
 #: One line in so many is in the sample that shows variants of many lines.
 SAMPLE = 64
+#: Earlier lines of a variant that are met in one task; of a variant of more lines, those left go to several.
+BLOCK = 256
 #: Bytes of lines that are handled together; lines that a task remembers.
 FLUSH, SEEN = 1_000_000, 500_000
 
@@ -341,6 +344,12 @@ def _screen(a: str, b: str) -> Column:
     return F.expr(f"({long}) or (greatest({a}.words, {b}.words) < {WORDS_PER_EDIT} and {apart} <= 3)")
 
 
+def _near(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h of the pairs (h, early_h) that are near copies; wanted: (h, line)."""
+    both = pairs.join(wanted, "h").join(wanted.select(F.col("h").alias("early_h"), F.col("line").alias("early_line")), "early_h")
+    return both.select("h", "line", "early_line").mapInArrow(_verify_batches, "h long").distinct()
+
+
 def doomed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, drop: line numbers, n_exact, n_near) of the documents that lose lines."""
     began = mark()
@@ -359,23 +368,32 @@ def doomed_lines(docs: DataFrame) -> DataFrame:
     shared = durable(rare.select("key", "h").unionByName(emitted.join(F.broadcast(hot), "key")).distinct())
     figures = first.select("h", F.struct("first", "h", "words", "low", "high").alias("line"))
     at = durable(shared.join(figures, "h").select("key", "line"))
-    drop(some, shared)
-
-    early = at.groupBy("key").agg(F.min("line").alias("early"))
-    pairs = at.join(early, "key").where("early.h <> line.h").where(_screen("line", "early"))
-    pairs = durable(pairs.select(F.col("line.h").alias("h"), F.col("early.h").alias("early_h")).distinct())
-
-    needed = pairs.select("h").unionByName(pairs.select("early_h").toDF("h")).distinct()
+    drop(shared)
+
+    # each line but the keeper, with the keeper of its variant: that of a hot variant is from partial minima
+    cold = at.join(F.broadcast(hot), "key", "left_anti").withColumns({"early": F.min("line").over(of_key), "of": F.count("*").over(of_key)})
+    keepers = at.join(F.broadcast(hot), "key").groupBy("key").agg(F.min("line").alias("early"), F.count("*").alias("of"))
+    met = cold.unionByName(at.join(F.broadcast(keepers), "key")).where("early.h <> line.h").withColumn("may", _screen("line", "early"))
+    met = durable(met.where("may or of > 2").select("key", F.col("line.h").alias("h"), "line", F.col("early.h").alias("early_h"), "of", "may"))
+    drop(some, at)
+    pairs = durable(met.where("may").select("h", "early_h").distinct())
+    more = met.where("of > 2").withColumn("blocks", F.expr(f"(of - 1) div {BLOCK} + 1"))
+
+    needed = pairs.select("h").unionByName(pairs.select("early_h").toDF("h")).unionByName(more.select("h")).distinct()
     where = first.join(needed, "h", "left_semi").select("h", *[F.col(f"first.{c}").alias(c) for c in _ORDER])
     where = where.groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("nos"), F.collect_list("h").alias("hs"))  # of one document
     texts = plain.withColumn("text_hash", native_hash(F.col("text")))
     # no bound is known for what is joined with the texts: never a broadcast, at any size
     wanted = durable(same(texts, where.hint("merge"), ["doc_id", "text_hash"], "inner").select("text", "nos", "hs").mapInArrow(_wanted_batches, "h long, line binary"))
 
-    both = pairs.join(wanted, "h").join(wanted.select(F.col("h").alias("early_h"), F.col("line").alias("early_line")), "early_h")
-    near_h = both.select("h", "line", "early_line").mapInArrow(_verify_batches, "h long").distinct().withColumn("near", F.lit(True))
+    near_keeper = durable(_near(pairs, wanted))
+    left = more.join(near_keeper, "h", "left_anti").select("key", "h", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    earlier = more.select("key", F.col("h").alias("early_h"), F.col("line").alias("early"), F.expr("pmod(h, blocks)").alias("block"))
+    rest = left.join(earlier.hint("merge"), ["key", "block"]).where(_screen("line", "early")).where("early.first < line.first")
+    near_other = _near(durable(rest.select("h", "early_h").distinct()), wanted)
+    near_h = near_keeper.unionByName(near_other).withColumn("near", F.lit(True))  # a line is in one of them
     verdict = durable(first.select("h", "first", "n").join(near_h, "h", "left"))
-    drop(wanted, at, pairs)
+    drop(wanted, met, pairs)
     # a hot line has no task of its own: there are few, and they go to the lines
     hot = verdict.where(F.col("n") > (first.agg(F.sum("n")).first()[0] or 0) / HOT).drop("n")
     own = lines.select("h", "doc_id", "text_hash", "line_no").withColumn("own", order)
@@ -392,8 +410,8 @@ def doomed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines removed that occur earlier, plus __text, __left (words left), __n_exact and __n_near.
 
-    A line goes if an equal line stands earlier, or if it is a near copy of a keeper: the earliest line, by first occurrence,
-    that has one of its variants. Earlier: by doc_id (null last), then a hash of the text, then the line's number. Whole
+    A line goes if an equal line stands earlier, or if it is a near copy of a line whose first occurrence is earlier than its
+    own, whether that one goes or not. Earlier: by doc_id (null last), then a hash of the text, then the line's number. Whole
     repeats of a row rank equal and keep the same lines. Lines without a word stay. Null text stays null. Lines that stay
     stay as they are. An empty table gives an empty result.
     """

@@ -278,6 +278,28 @@ def test_line_dedup_of_all_lengths(spark, tmp_path, monkeypatch):
     assert near > 60 and sum(r.n_exact for r in got) == sum(map(len, (t.split("\n") for _, t in rows))) - sum(map(len, (r.text.split("\n") for r in got if r.text or not rows[r.doc_id][1]))) - near
 
 
+def between():
+    """Three lines: the third is a near copy of the second only, and the earliest line of the variant they share is the first."""
+    words = [f"a{k}" for k in range(11)]
+    return " ".join(words[:2] + ["p"] + words[2:]), " ".join(words), " ".join(words[:7] + ["q"] + words[7:])
+
+
+def test_line_dedup_meets_all_earlier_lines(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    bases = [text(rng, 1, n).split() for n in (5, 11, 14, 24, 36) for _ in range(3)]
+    lines = list(between()) + [" ".join(edited(rng, b, rng.randrange(1, 2 + len(b) // 10))) for b in bases for _ in range(25)]
+    rows = [(k, line) for k, line in enumerate(lines)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    every, keepers = left_by_brute_force(rows, keepers=False), left_by_brute_force(rows)
+    assert sum(map(bool, every.values())) < sum(map(bool, keepers.values())) - 5
+    # the second splits the variants of many lines into blocks, the third makes them hot as well
+    for block, hot, sample in ((line_dedup.BLOCK, line_dedup.HOT, line_dedup.SAMPLE), (2, line_dedup.HOT, line_dedup.SAMPLE), (2, 10_000, 1)):
+        for name, value in (("BLOCK", block), ("HOT", hot), ("SAMPLE", sample)):
+            monkeypatch.setattr(line_dedup, name, value)
+        got = line_dedup.op10_line_dedup(spark, str(tmp_path)).collect()
+        assert {r.doc_id: r.text for r in got} == {d: every[(d, t)] for d, t in rows}
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mixed(docs).collect()
     assert len(got) == len(rows)
