@@ -339,7 +339,8 @@ def _screen(a: str, b: str) -> Column:
     """Whether lines may be near copies, by the structs a and b of words, low and high."""
     apart = f"bit_count({a}.low ^ {b}.low) + bit_count({a}.high ^ {b}.high)"
     least = f"least({a}.words, {b}.words)"
-    long = f"{least} >= {WORDS_PER_EDIT} and abs({a}.words - {b}.words) <= {least} div {WORDS_PER_EDIT} and {apart} <= 2 * ({least} div {WORDS_PER_EDIT})"
+    # of e edits, those that insert or delete change one class, and the number of words: apart + that difference <= 2 e
+    long = f"{least} >= {WORDS_PER_EDIT} and abs({a}.words - {b}.words) <= {least} div {WORDS_PER_EDIT} and {apart} + abs({a}.words - {b}.words) <= 2 * ({least} div {WORDS_PER_EDIT})"
     # a space inserted or deleted changes three words
     return F.expr(f"({long}) or (greatest({a}.words, {b}.words) < {WORDS_PER_EDIT} and {apart} <= 3)")
 
@@ -370,14 +371,22 @@ def doomed_lines(docs: DataFrame) -> DataFrame:
     at = durable(shared.join(figures, "h").select("key", "line"))
     drop(shared)
 
-    # each line but the keeper, with the keeper of its variant: that of a hot variant is from partial minima
-    cold = at.join(F.broadcast(hot), "key", "left_anti").withColumns({"early": F.min("line").over(of_key), "of": F.count("*").over(of_key)})
+    # a hot variant has its keeper from partial minima
+    calm = at.join(F.broadcast(hot), "key", "left_anti")
     keepers = at.join(F.broadcast(hot), "key").groupBy("key").agg(F.min("line").alias("early"), F.count("*").alias("of"))
-    met = cold.unionByName(at.join(F.broadcast(keepers), "key")).where("early.h <> line.h").withColumn("may", _screen("line", "early"))
-    met = durable(met.where("may or of > 2").select("key", F.col("line.h").alias("h"), "line", F.col("early.h").alias("early_h"), "of", "may"))
+    calm_met = calm.withColumns({"early": F.min("line").over(of_key), "of": F.count("*").over(of_key)}).where("early.h <> line.h")
+    hot_met = at.join(F.broadcast(keepers), "key").where("early.h <> line.h")
+    # lines beside the keeper, of those that may be near copies of another one beside it; whole structs, so that both sides read one shuffle
+    other = calm.select(F.col("key").alias("other_key"), F.col("line").alias("other")).hint("merge")
+    beside = calm_met.where("of > 2").join(other, (F.col("key") == F.col("other_key")) & _screen("line", "other") & F.expr("other <> line and other <> early"), "left_semi")
+    beside = beside.unionByName(hot_met.where("of > 2")).select("key", "of", "line", F.lit(None).cast("long").alias("early_h"))
+    met = calm_met.unionByName(hot_met).where(_screen("line", "early")).select("key", "of", "line", F.col("early.h").alias("early_h"))
+    met = durable(met.unionByName(beside))
     drop(some, at)
-    pairs = durable(met.where("may").select("h", "early_h").distinct())
-    more = met.where("of > 2").withColumn("blocks", F.expr(f"(of - 1) div {BLOCK} + 1"))
+    pairs = durable(met.where("early_h is not null").select(F.col("line.h").alias("h"), "early_h").distinct())
+    more = met.where("early_h is null").groupBy(F.col("line.h").alias("h")).agg(F.first("line").alias("line"), F.sort_array(F.collect_list(F.struct("key", "of"))).alias("own"))
+    more = durable(more.select("h", "line.first", "line.words", "line.low", "line.high", F.col("own.key").alias("keys"), F.col("own.of").alias("sizes")))
+    drop(met)
 
     needed = pairs.select("h").unionByName(pairs.select("early_h").toDF("h")).unionByName(more.select("h")).distinct()
     where = first.join(needed, "h", "left_semi").select("h", *[F.col(f"first.{c}").alias(c) for c in _ORDER])
@@ -387,13 +396,19 @@ def doomed_lines(docs: DataFrame) -> DataFrame:
     wanted = durable(same(texts, where.hint("merge"), ["doc_id", "text_hash"], "inner").select("text", "nos", "hs").mapInArrow(_wanted_batches, "h long, line binary"))
 
     near_keeper = durable(_near(pairs, wanted))
-    left = more.join(near_keeper, "h", "left_anti").select("key", "h", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    earlier = more.select("key", F.col("h").alias("early_h"), F.col("line").alias("early"), F.expr("pmod(h, blocks)").alias("block"))
-    rest = left.join(earlier.hint("merge"), ["key", "block"]).where(_screen("line", "early")).where("early.first < line.first")
-    near_other = _near(durable(rest.select("h", "early_h").distinct()), wanted)
+    # a pair meets at the first variant that both have: below are those before it
+    figures = F.struct("first", "h", "words", "low", "high")
+    shown = ["key", f"(sizes[at] - 1) div {BLOCK} + 1 as blocks", "slice(keys, 1, at) as below", "h", "line"]
+    left, earlier = (x.select("*", F.posexplode("keys").alias("at", "key")).withColumn("line", figures).selectExpr(*shown) for x in (more.join(near_keeper, "h", "left_anti"), more))
+    left = left.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    earlier = earlier.selectExpr("key", "pmod(h, blocks) as block", "h as early_h", "line as early", "below as early_below")
+    rest = left.join(earlier.hint("merge"), ["key", "block"]).where(_screen("line", "early") & F.expr("early.first < line.first and not arrays_overlap(below, early_below)"))
+    rest = durable(rest.select("h", "early_h"))
+    of_rest = rest.select("h").unionByName(rest.select("early_h").toDF("h")).distinct()
+    near_other = _near(rest, wanted.join(of_rest, "h", "left_semi"))
     near_h = near_keeper.unionByName(near_other).withColumn("near", F.lit(True))  # a line is in one of them
     verdict = durable(first.select("h", "first", "n").join(near_h, "h", "left"))
-    drop(wanted, met, pairs)
+    drop(wanted, more, pairs, rest)
     # a hot line has no task of its own: there are few, and they go to the lines
     hot = verdict.where(F.col("n") > (first.agg(F.sum("n")).first()[0] or 0) / HOT).drop("n")
     own = lines.select("h", "doc_id", "text_hash", "line_no").withColumn("own", order)
