@@ -300,6 +300,13 @@ def test_line_dedup_meets_all_earlier_lines(spark, tmp_path, monkeypatch):
         assert {r.doc_id: r.text for r in got} == {d: every[(d, t)] for d, t in rows}
 
 
+def test_pipeline_drops_near_copies_of_all_earlier_lines(spark):
+    import corpus_pipeline
+
+    frame = spark.createDataFrame([(k, line, "en", "s1") for k, line in enumerate(between())], "doc_id long, text string, lang string, source string")
+    assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, frame, "").collect()] == [0]
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mixed(docs).collect()
     assert len(got) == len(rows)
