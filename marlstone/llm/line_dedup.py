@@ -25,8 +25,9 @@ large group of near copies is never expanded into pairs, since its keeper takes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from copy import copy
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,9 @@ HOT = 50_000
 SAMPLE = 64
 #: Earlier lines of a variant that are met in one task; of a variant of more lines, those left go to several.
 BLOCK = 256
-#: Bytes of lines that are handled together; lines that a task remembers.
+#: Variants are dealt to 2 ** BUCKET_BITS buckets; a task holds the cold variants of its buckets.
+BUCKET_BITS = 12
+#: Bytes of lines, or variants, that are handled together; lines that a task remembers.
 FLUSH, SEEN = 1_000_000, 500_000
 
 _ORDER = ("doc_id", "text_hash", "line_no")
@@ -62,24 +65,6 @@ def line_words(line: bytes) -> list[bytes]:
     return line.lower().split()
 
 
-def short_variants(words: list[bytes]) -> list[int]:
-    """Hashes of a line of few words and of the line without each character."""
-    line = b" ".join(words).decode("utf-8", "surrogatepass")
-    if len(line) < CHARS_PER_EDIT:
-        return []
-    return [signed(xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), 1)) for v in {line, *(line[:i] + line[i + 1 :] for i in range(len(line)))}]
-
-
-def word_variants(words: list[bytes]) -> list[int]:
-    """Hashes of the line and of the line without each word."""
-    line, at = b" ".join(words), 0
-    out = {xxhash.xxh64_intdigest(line, 2)}
-    for w in words:
-        out.add(xxhash.xxh64_intdigest(line[: at - 1] + line[at + len(w) :] if at else line[len(w) + 1 :], 2))
-        at += len(w) + 1
-    return [signed(h) for h in out]
-
-
 def within_one(a: str, b: str) -> bool:
     """Edit distance of 1 at most."""
     if abs(len(a) - len(b)) > 1:
@@ -110,6 +95,10 @@ def near(a: list[bytes], b: list[bytes]) -> bool:
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return len(a) + len(b) <= k
+    if len(a) == len(b) and sum(map(ne, a, b)) <= k:
+        return True
+    if len(set(a).difference(b)) > k or len(set(b).difference(a)) > k:  # an edit takes one word of each at most
+        return False
     at: dict[bytes, int] = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << i
@@ -138,27 +127,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.multiply.accumulate(np.full(n, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64)))
 
 
+def _sums(units: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Running sums, from 0, of units times their powers."""
+    out = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum(np.multiply(units, power[: len(units)], dtype=np.uint64), out=out[1:])
+    return out
+
+
 class Lines:
     """Lines, joined from their words by spaces, as flat arrays: of each word its line, hash and length; of each line its
     number of words."""
 
     def __init__(self, lines: list[bytes], powers: tuple[np.ndarray, np.ndarray] | None = None):
         flat = np.frombuffer(b" ".join(lines) + b" ", np.uint8)
-        power, inverse = powers if powers and len(powers[0]) > len(flat) else _powers(len(flat) + 1)
+        self.powers = powers if powers and len(powers[0]) > len(flat) else _powers(len(flat) + 1)
         ends = np.flatnonzero(flat == 32)
         starts = np.r_[0, ends[:-1] + 1]
         # a word's hash: a polynomial of its bytes, as the difference of two running sums, shifted to the same place
-        sums = np.cumsum(_mix(np.arange(256, dtype=np.uint64) + np.uint64(1))[flat] * power[: len(flat)])
-        sums = np.r_[np.zeros(1, np.uint64), sums]
-        self.word = _mix((sums[ends] - sums[starts]) * inverse[starts])
+        sums = _sums(flat, self.powers[0])
+        self.word = _mix((sums[ends] - sums[starts]) * self.powers[1][starts])
         self.chars = ends - starts
-        self.size = np.fromiter((line.count(b" ") + 1 for line in lines), np.int64, len(lines))
+        last = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1) - 1  # the space behind each line
+        self.size = np.diff(np.searchsorted(ends, last) + 1, prepend=0)
         self.no = np.repeat(np.arange(len(lines)), self.size)
 
-    def long(self) -> Lines:
-        """The lines of LONG words or more."""
-        out, keep = copy(self), self.size >= LONG
-        inside = keep[self.no]
+    def only(self, keep: np.ndarray) -> Lines:
+        """The lines where keep holds."""
+        out, inside = copy(self), keep[self.no]
         out.word, out.chars, out.size = self.word[inside], self.chars[inside], self.size[keep]
         out.no = np.repeat(np.arange(len(out.size)), out.size)
         return out
@@ -177,6 +172,40 @@ def _ranks(no: np.ndarray) -> np.ndarray:
     return place - np.maximum.accumulate(np.where(np.r_[True, no[1:] != no[:-1]][: len(no)], place, 0))
 
 
+def _without(sums: np.ndarray, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Polynomials of the units from start to end without those from a to b."""
+    return (sums[a] - sums[start] + (sums[end] - sums[b]) * inverse[b - a - 1]) * inverse[start]
+
+
+def _fresh(no: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the repeats that follow each other: equal variants of a line are of units that are all alike."""
+    keep = np.r_[True, (no[1:] != no[:-1]) | (key[1:] != key[:-1])][: len(no)]
+    return no[keep], key[keep]
+
+
+def short_variants(lines: list[bytes], powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, key) of lines of few words and of the lines without each character."""
+    flat = np.frombuffer(b" ".join(lines) + b" ", np.uint8)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    end = np.cumsum(size + 1) - 1
+    start = end - size
+    a = np.flatnonzero((flat & 0xC0) != 0x80)  # where characters start; the space behind a line stands for the whole line
+    no = np.repeat(np.arange(len(lines)), size + 1)[a]
+    b = np.where(a == end[no], a, np.r_[a[1:], len(flat)])
+    keep = np.bincount(no, minlength=len(lines))[no] > CHARS_PER_EDIT
+    no, a, b = no[keep], a[keep], b[keep]
+    return _fresh(no, _mix(_without(_sums(flat, powers[0]), start[no], end[no], a, b, powers[1]) + np.uint64(1)))
+
+
+def word_variants(x: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, key) of the lines without each word, and of the lines."""
+    end = np.cumsum(x.size)
+    start, sums, a = end - x.size, _sums(x.word, x.powers[0]), np.arange(len(x.word))
+    less = _fresh(x.no, _without(sums, start[x.no], end[x.no], a, a + 1, x.powers[1]))
+    no, key = np.r_[less[0], np.arange(len(x.size))], np.r_[less[1], _without(sums, start, end, end, end, x.powers[1])]
+    return no, _mix(key + np.uint64(2))
+
+
 def pair_variants(x: Lines, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of the line, key) of the first k * GRAM + 1 grams, longest first, of the lines where of holds; a gram's n-th
     repeat in a line is a gram of its own."""
@@ -203,6 +232,10 @@ def bands(most: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+#: More characters of a class count as so many.
+_MOST = np.uint64((1 << 16) - 1)
+
+
 def class_variants(x: Lines) -> tuple[np.ndarray, np.ndarray]:
     """(number of the line, key) of the variants by classes of lines of LONG words or more."""
     k = x.size // WORDS_PER_EDIT
@@ -211,43 +244,54 @@ def class_variants(x: Lines) -> tuple[np.ndarray, np.ndarray]:
     shortest = np.maximum(LONG, -(-x.size * WORDS_PER_EDIT // (WORDS_PER_EDIT + 1)))  # of its near copies
     low = np.searchsorted(least, shortest // WORDS_PER_EDIT, "right") - 1
     nos, keys, poor = [], [], np.zeros(len(x.size), bool)
+    salted, dealt = _mix(x.word), x.word >> np.uint64(20)
     for below in range(int((own - low).max()) + 1):
         band = np.maximum(own - below, low)
         here = own - below >= low
         top = least[band + 1] - 1
         classes, first = 2 * top + SPARE, 2 * np.minimum(k, top) + 1
+        slots = np.cumsum(np.where(here, classes, 0))
         inside = here[x.no]
-        no, word, chars = x.no[inside], x.word[inside], x.chars[inside]
-        of = ((word >> np.uint64(20)) % classes[no].astype(np.uint64)).astype(np.int64)
-        order = np.lexsort((of, no))
-        no, word, chars, of = no[order], word[order], chars[order], of[order]
-        starts = np.flatnonzero(np.r_[True, (no[1:] != no[:-1]) | (of[1:] != of[:-1])])
-        content, chars, no, of = np.add.reduceat(_mix(word), starts), np.add.reduceat(chars, starts), no[starts], of[starts]
-        order = np.lexsort((of, content, -chars, no))
-        no, content, of = no[order], content[order], of[order]
-        keep = _ranks(no) < first[no]
-        poor |= here & (np.bincount(no, minlength=len(k)) < first)
-        nos.append(no[keep])
-        keys.append(_mix(content[keep] + _mix(of[keep].astype(np.uint64) + classes[no[keep]].astype(np.uint64) * np.uint64(1 << 20))))
+        no = x.no[inside]
+        at = slots[no] - classes[no] + (dealt[inside] % classes.astype(np.uint64)[no]).astype(np.int64)
+        content, chars = np.zeros(slots[-1], np.uint64), np.zeros(slots[-1], np.int64)
+        np.add.at(content, at, salted[inside])
+        np.add.at(chars, at, x.chars[inside])
+        for one in np.unique(band[here]):  # lines of as many classes: a row each
+            rows = np.flatnonzero(here & (band == one))
+            n = int(classes[rows[0]])
+            of = np.arange(n, dtype=np.uint64)
+            at = (slots[rows] - n)[:, None] + np.arange(n)
+            # one number that sorts by characters, most first and no word last, then by content; its low bits are the class
+            low_bits = np.uint64((1 << n.bit_length()) - 1)
+            rank = (_MOST - np.minimum(chars[at], int(_MOST)).astype(np.uint64)) << np.uint64(48) | (content[at] >> np.uint64(16)) & ~low_bits | of
+            rank = np.sort(rank, axis=1)[:, : int(first[rows].max())]
+            keep = (rank >> np.uint64(48) < _MOST) & (np.arange(rank.shape[1]) < first[rows][:, None])
+            poor[rows] |= keep.sum(axis=1) < first[rows]
+            of = rank & low_bits
+            key = _mix(content[(slots[rows] - n)[:, None] + of.astype(np.int64)] + _mix(of + np.uint64(n << 20)))
+            nos.append(np.repeat(rows, keep.sum(axis=1)))
+            keys.append(key[keep])
     if poor.any():
         no, key = pair_variants(x, poor)
         nos.append(no)
         keys.append(key)
-    return np.concatenate(nos), np.concatenate(keys).view(np.int64)
+    return np.concatenate(nos), np.concatenate(keys)
 
 
 def variants(lines: list[bytes], x: Lines | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(number of the line, hash) of the variants of lines, by number; x: Lines(lines)."""
     x = x or Lines(lines)
-    few = np.flatnonzero(x.size <= LONG)
-    own = [short_variants(w) if len(w) < WORDS_PER_EDIT else word_variants(w) for w in (lines[i].split() for i in few)]
-    no, key = np.repeat(few, [len(v) for v in own]), np.array([k for v in own for k in v], np.int64)
-    if (x.size >= LONG).any():
-        more, keys = class_variants(x.long())
-        no, key = np.r_[no, np.flatnonzero(x.size >= LONG)[more]], np.r_[key, keys]
-        order = np.argsort(no, kind="stable")
-        no, key = no[order], key[order]
-    return no, key
+    short, long = x.size < WORDS_PER_EDIT, x.size >= LONG
+    kinds = (
+        (short, lambda: short_variants([lines[i] for i in np.flatnonzero(short)], x.powers)),
+        (~short & (x.size <= LONG), lambda: word_variants(x.only(~short & (x.size <= LONG)))),
+        (long, lambda: class_variants(x.only(long))),
+    )
+    parts = [(np.flatnonzero(of)[no], key.view(np.int64)) for of, make in kinds if of.any() for no, key in (make(),)]
+    no, key = (np.concatenate(v) for v in zip(*parts))
+    order = np.argsort(no, kind="stable")
+    return no[order], key[order]
 
 
 def _line_rows(rows: list[tuple], fresh: list[int], lines: list[bytes], powers: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
@@ -296,6 +340,63 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _line_rows(rows, fresh, lines, powers)
 
 
+def _deal(hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (h, variants): the variants but the hot ones, and their h, in blocks by bucket."""
+    hot = np.sort(hot)
+
+    def dealt(key: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        if len(hot):
+            cold = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] != key
+            key, h = key[cold], h[cold]
+        bucket = (key.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        n = np.bincount(bucket, minlength=1 << BUCKET_BITS)
+        own = np.flatnonzero(n)
+        at = pa.py_buffer(np.r_[0, np.cumsum(n[own]) * 8].astype(np.int32))
+        blocks = [pa.Array.from_buffers(pa.binary(), len(own), [None, at, pa.py_buffer(v[order])]) for v in (key, h)]
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *blocks], ["bucket", "keys", "hs"])
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, hs, n = [], [], 0
+        for b in batches:
+            lists = b.column("variants")
+            keys.append(lists.flatten().to_numpy())
+            hs.append(np.repeat(b.column("h").to_numpy(), lists.value_lengths().to_numpy()))
+            n += len(keys[-1])
+            if n > FLUSH:
+                yield dealt(np.concatenate(keys), np.concatenate(hs))
+                keys, hs, n = [], [], 0
+        if n:
+            yield dealt(np.concatenate(keys), np.concatenate(hs))
+
+    return batches_of
+
+
+def _several(key: np.ndarray) -> np.ndarray:
+    """Whether a sorted key is there more than once."""
+    again = key[1:] == key[:-1]
+    return (np.r_[False, again] | np.r_[again, False])[: len(key)]
+
+
+def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the blocks of whole buckets: the distinct (key, h) of the keys that two lines or more have."""
+    blocks = [(np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(h.as_buffer(), np.int64)) for b in batches for k, h in zip(b.column("keys"), b.column("hs"), strict=True)]
+    if not blocks:
+        return
+    key, h = (np.concatenate(v) for v in zip(*blocks))
+    del blocks
+    order = np.argsort(key)
+    key, h = key[order], h[order]
+    several = _several(key)  # most are of one line only
+    key, h = key[several], h[several]
+    order = np.lexsort((h, key))
+    key, h = _fresh(key[order], h[order])
+    several = _several(key)
+    key, h = key[several], h[several]
+    for at in range(0, len(key), FLUSH):
+        yield pa.RecordBatch.from_arrays([pa.array(key[at : at + FLUSH]), pa.array(h[at : at + FLUSH])], ["key", "h"])
+
+
 def _wanted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (text, nos, hs): the lines nos of a text, with their hashes. Whole repeats of a row stand one after the other."""
     last = None
@@ -316,8 +417,11 @@ def _kinds(df: DataFrame) -> str:
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        a, e = b.column("line").to_pylist(), b.column("early_line").to_pylist()
-        good = [near(line_words(x), line_words(y)) for x, y in zip(a, e, strict=True)]
+        good, last, words = [], None, []
+        for x, y in zip(b.column("line").to_pylist(), b.column("early_line").to_pylist(), strict=True):
+            if y != last:  # they come by the earlier line
+                last, words = y, line_words(y)
+            good.append(near(line_words(x), words))
         yield pa.RecordBatch.from_arrays([b.column("h").filter(pa.array(good, pa.bool_()))], ["h"])
 
 
@@ -365,8 +469,9 @@ def doomed_lines(docs: DataFrame) -> DataFrame:
     some = durable(emitted.where(F.pmod("h", F.lit(SAMPLE)) == 0).groupBy("key").count())
     hot = some.where(F.col("count") > F.greatest(F.lit(SAMPLE), F.lit((some.agg(F.sum("count")).first()[0] or 0) / HOT))).select("key")
     of_key = Window.partitionBy("key")
-    rare = emitted.join(F.broadcast(hot), "key", "left_anti").withColumns({"a": F.min("h").over(of_key), "b": F.max("h").over(of_key)}).where("a <> b")
-    shared = durable(rare.select("key", "h").unionByName(emitted.join(F.broadcast(hot), "key")).distinct())
+    dealt = lines.select("h", "variants").mapInArrow(_deal(np.array([r.key for r in hot.collect()], np.int64)), "bucket int, keys binary, hs binary")
+    rare = dealt.repartition("bucket").mapInArrow(_shared_batches, "key long, h long")
+    shared = durable(rare.unionByName(emitted.join(F.broadcast(hot), "key").distinct()))
     figures = first.select("h", F.struct("first", "h", "words", "low", "high").alias("line"))
     at = durable(shared.join(figures, "h").select("key", "line"))
     drop(shared)

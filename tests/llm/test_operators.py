@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -250,6 +252,55 @@ def test_near_lines_share_a_variant():
     assert set(line_dedup.variants([b" ".join(x)])[1]) & set(line_dedup.variants([b" ".join(y)])[1])
 
 
+def test_variants_without_one_are_those_of_the_definition():
+    rng = random.Random(12)
+    lines = {" ".join(v) for _ in range(300) for v in some_near(rng) if v and len(v) < 20} | {"aaaa bbbbb a", "é é é é é é", "a a a a a a a a a a a", "short"}
+    lines = sorted(lines)
+    own = []
+    for line in lines:
+        units = list(line) if line.count(" ") < 9 else line.split()
+        variants = {tuple(units), *(tuple(units[:i] + units[i + 1 :]) for i in range(len(units)))}
+        own.append({(line.count(" ") < 9, v) for v in variants} if len(line) >= 10 or line.count(" ") >= 9 else set())
+    no, key = line_dedup.variants([line.encode() for line in lines])
+    got, want = {}, {}
+    for i, k in zip(no.tolist(), key.tolist(), strict=True):
+        got.setdefault(k, []).append(i)
+    for i, v in sorted((i, v) for i, vs in enumerate(own) for v in vs):
+        want.setdefault(v, []).append(i)
+    assert sorted(got.values()) == sorted(want.values())
+    assert sum(len(v) > 1 for v in want.values()) > 50
+
+
+def test_variants_of_a_long_word_take_memory_in_proportion():
+    rng = random.Random(13)
+    line = "".join(rng.choice("abcdefghij") for _ in range(30_000))
+    apart = 1 + sum(a != b for a, b in zip(line, line[1:])) + 1  # of equal neighbours either gives the same variant; and the line
+    tracemalloc.start()
+    _, key = line_dedup.variants([line.encode()])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(key.tolist())) == len(key) == apart
+    assert peak < 100_000_000  # 900 MB if all variants are made
+
+
+def test_variants_of_one_line_only_are_left_out_of_the_blocks():
+    rng = np.random.default_rng(14)
+    key = np.r_[rng.integers(-(1 << 62), 1 << 62, 3000).repeat(2), rng.integers(-(1 << 62), 1 << 62, 5000)]
+    h = rng.integers(0, 1500, len(key))
+    hot = key[:40:2].copy()
+    parts = np.array_split(rng.permutation(len(key)), 5)
+    batches = [pa.RecordBatch.from_arrays([pa.array(h[p]), pa.array([[k] for k in key[p].tolist()], pa.list_(pa.int64()))], ["h", "variants"]) for p in parts]
+    dealt = list(line_dedup._deal(hot)(iter(batches)))
+    assert sum(b.num_rows for b in dealt) <= 1 << line_dedup.BUCKET_BITS
+    got = [r for b in line_dedup._shared_batches(iter(dealt)) for r in zip(b.column("key").to_pylist(), b.column("h").to_pylist(), strict=True)]
+    of = {}
+    for k, x in zip(key.tolist(), h.tolist(), strict=True):
+        of.setdefault(k, set()).add(x)
+    want = [(k, x) for k, xs in of.items() if len(xs) > 1 and k not in set(hot.tolist()) for x in xs]
+    assert sorted(got) == sorted(want) and len(want) > 5000
+    assert list(line_dedup._shared_batches(iter([]))) == []
+
+
 def test_line_dedup(docs, rows, empty):
     got = line_dedup.dedup_lines(docs.withColumn("before", F.col("text")))
     out = left_by_brute_force([(d, t) for d, t, _, _ in rows])
