@@ -280,7 +280,7 @@ def test_variants_of_a_long_word_take_memory_in_proportion():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(set(key.tolist())) == len(key) == apart
-    assert peak < 100_000_000  # 900 MB if all variants are made
+    assert peak < 100_000_000  # 800 MB if all variants are made
 
 
 def test_variants_of_one_line_only_are_left_out_of_the_blocks():
