@@ -1,6 +1,7 @@
 """Keyword scores against plain Python, and how much retrieval shuffles as the texts grow."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -79,3 +80,11 @@ def test_bm25_shuffles_no_postings(spark):
     small, large = (shuffled(spark, R.bm25(*frames(spark, queries, texts(n)), k=5).collect)[0] for n in (400, 4000))
     # the ids go once, to find those of several texts; all else grows with queries and tasks
     assert large - small < 2 * (4000 - 400)
+
+
+def test_search_keeps_texts_in_place(spark):
+    draw = random.Random(5)
+    files = spark.createDataFrame([(k, f"f{k}.txt", f"h{k}", "indexed", f"w{k % 37} " + "%x" % draw.getrandbits(40_000)) for k in range(400)], "id long, filename string, content_hash string, status string, text string")
+    vectors = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(400)], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, "w1 w2", [1.0, 1.0])], "query_id long, query string, embedding array<float>")
+    assert shuffled(spark, R.search(queries, files, vectors).collect)[1] < 400 * 10_000 / 4
