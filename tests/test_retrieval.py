@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from marlstone.operators import retrieval as R
+from marlstone.plans import registry
 
 
 def scored(queries, chunks, k):
@@ -88,3 +89,19 @@ def test_search_keeps_texts_in_place(spark):
     vectors = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(400)], "id long, embedding array<float>")
     queries = spark.createDataFrame([(1, "w1 w2", [1.0, 1.0])], "query_id long, query string, embedding array<float>")
     assert shuffled(spark, R.search(queries, files, vectors).collect)[1] < 400 * 10_000 / 4
+
+
+def tables(spark, folder, docs, items, n_vectors=40):
+    """documents, benchmark and embeddings under a folder, as its name."""
+    rows = [(k, t, "en", "s", len(t)) for k, t in docs]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(k, [float(k), 1.0]) for k in range(n_vectors)], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion"])
+def test_fusion_shuffles_no_postings(spark, tmp_path, name):
+    items = [(q, " ".join(f"w{k}" for k in range(37))) for q in range(20)]
+    small, large = (shuffled(spark, registry.Q[name](spark, tables(spark, tmp_path / str(n), texts(n), items)).collect)[0] for n in (400, 4000))
+    assert large - small < 2 * (4000 - 400)
