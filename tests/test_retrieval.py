@@ -100,7 +100,7 @@ def tables(spark, folder, docs, items, n_vectors=40):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["rrf_fusion"])
+@pytest.mark.parametrize("name", ["rrf_fusion", "rerank_pool"])
 def test_fusion_shuffles_no_postings(spark, tmp_path, name):
     items = [(q, " ".join(f"w{k}" for k in range(37))) for q in range(20)]
     small, large = (shuffled(spark, registry.Q[name](spark, tables(spark, tmp_path / str(n), texts(n), items)).collect)[0] for n in (400, 4000))
