@@ -105,3 +105,22 @@ def test_fusion_shuffles_no_postings(spark, tmp_path, name):
     items = [(q, " ".join(f"w{k}" for k in range(37))) for q in range(20)]
     small, large = (shuffled(spark, registry.Q[name](spark, tables(spark, tmp_path / str(n), texts(n), items)).collect)[0] for n in (400, 4000))
     assert large - small < 2 * (4000 - 400)
+
+
+def long_texts(n=400):
+    draw = random.Random(5)
+    return [(k, f"w{k % 37} " + "%x" % draw.getrandbits(40_000)) for k in range(n)]
+
+
+@pytest.fixture
+def large(spark):
+    """Tables count as too large to be broadcast by themselves."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bands_keep_texts_in_place(spark, tmp_path, large):
+    run = registry.Q["confidence_bands"](spark, tables(spark, tmp_path, long_texts(), [(1, "w1 w2")]))
+    assert shuffled(spark, run.collect)[1] < 400 * 10_000 / 4
