@@ -124,3 +124,8 @@ def large(spark):
 def test_bands_keep_texts_in_place(spark, tmp_path, large):
     run = registry.Q["confidence_bands"](spark, tables(spark, tmp_path, long_texts(), [(1, "w1 w2")]))
     assert shuffled(spark, run.collect)[1] < 400 * 10_000 / 4
+
+
+def test_eval_keeps_texts_in_place(spark, tmp_path, large):
+    run = registry.Q["eval_hit_at_k"](spark, tables(spark, tmp_path, long_texts(), [(1, "w1"), (2, "nowhere")]))
+    assert shuffled(spark, run.collect)[1] < 400 * 10_000 / 4 and {r.kind: (r.n, r.hit_1) for r in run.collect()} == {"known": (1, 1.0), "negative": (1, 0.0)}
